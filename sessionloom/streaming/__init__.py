@@ -1,0 +1 @@
+"""Every input of this toolkit is a bounded Parquet table, so there is no stream operator."""
