@@ -4,14 +4,14 @@ A neighbour table has columns (aid, neighbor, rank). Sessions with fewer than C
 items take their history, then the neighbours with most votes, then popular items. Sessions
 with at least C distinct items rank what they saw by recency and kind of event.
 
-All neighbour tables of an event are looked up in one join. Short sessions have fewer than
-C items, so their votes are bounded; for long sessions the votes are aggregated by
-(session, item) before any window, and the top-C windows cut map-side.
+All neighbour tables of an event are looked up in one join, for both kinds of session. Short
+sessions have fewer than C items, so their votes are bounded; those of long sessions are
+aggregated by (session, item), and the top-C window cuts them map-side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -107,7 +107,7 @@ def history(events: DataFrame) -> DataFrame:
     """Distinct items of each session with their newest event, and their newest cart or order."""
     moment = F.struct("ts", "event_id")
     return events.groupBy("session", "aid").agg(
-        F.count("*").alias("n"), F.max(moment).alias("seen"),
+        F.count("*").alias("n"), F.max(moment).alias("seen"), F.min(moment).alias("opened"),
         F.max(F.when(F.col("type").isin(1, 2), moment)).alias("bought"))
 
 
@@ -119,20 +119,29 @@ def history_ranked(events: DataFrame, buys_only: bool = False) -> DataFrame:
     return history(events).select("session", "aid", F.row_number().over(recent).alias("rank"))
 
 
+def session_sizes(hist: DataFrame) -> DataFrame:
+    """Events, distinct items and time range of each session, from its history."""
+    return hist.groupBy("session").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_hist"),
+        F.min("opened.ts").alias("lo"), F.max("seen.ts").alias("hi"))
+
+
 def recency_score(events: DataFrame, alpha: float, type_weights: Mapping[int, float] = TYPE_WEIGHTS,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+                  hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Score per (session, aid): later events and heavier event types count more.
 
     The i-th of n events (from 0) weighs 2^(alpha + i (1 - alpha) / (n - 1)) - 1 times its
-    type's weight. ``opened`` is the item's first event.
+    type's weight. ``opened`` is the item's first event. Sessions missing in ``sizes`` are
+    left out.
     """
-    sizes = events.groupBy("session").agg(F.count("*").alias("n_events"))
-    placed = ordering.positions(events, ["session"], hot_rows=hot_rows)
-    sized = ordering.spread_join(placed, sizes, ["session"], salt_by=["event_id"], hot_rows=hot_rows)
+    sizes = ordering.key_sizes(events, ["session"]) if sizes is None else sizes
+    counted = sizes.select("session", F.col("n").alias("n_events"))
+    sized = ordering.spread_join(events, counted, ["session"], salt_by=["event_id"], hot_rows=hot_rows, sizes=sizes)
+    placed = ordering.positions(sized, ["session"], hot_rows=hot_rows, sizes=sizes)
     step = F.coalesce(F.try_divide(F.lit(1.0 - alpha), (F.col("n_events") - 1).cast("double")), F.lit(0.0))
     weights = F.create_map(*[F.lit(x) for t, w in sorted(type_weights.items()) for x in (t, float(w))])
     score = (F.pow(F.lit(2.0), F.lit(alpha) + (F.col("pos") - 1) * step) - 1.0) * F.element_at(weights, F.col("type"))
-    return sized.groupBy("session", "aid").agg(
+    return placed.groupBy("session", "aid").agg(
         F.sum(score).alias("score"), F.min(F.struct("ts", "event_id")).alias("opened"))
 
 
@@ -165,56 +174,107 @@ def _place(source: Column, ts: Column, event_id: Column, rank: Column) -> Column
                     event_id.cast("long").alias("id"), rank.cast("int").alias("rank"))
 
 
-def source_votes(seeds: DataFrame, tables: Mapping[str, DataFrame], sources: tuple[Source, ...],
-                 session_recs: DataFrame | None = None, n_recs: int = 0,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def source_votes(seeds: DataFrame, tables: Mapping[str, DataFrame], sources: Sequence[Source],
+                 long_sources: Sequence[Source] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row (session, aid, place) per vote of the sources for the seeds' neighbours.
 
-    ``seeds`` is a history; its rows of hot items are dealt over several tasks.
+    ``seeds`` is a history; its rows of hot items are dealt over several tasks. Each table is
+    read once, however many sources use it. With ``long_sources`` the seeds have a column
+    ``is_long`` that says which list of sources they vote by; it is kept.
     """
+    every = [(i, s, False) for i, s in enumerate(sources, start=1)]
+    every += [(i, s, True) for i, s in enumerate(long_sources or (), start=1)]
+    if long_sources is None:
+        seeds = seeds.withColumn("is_long", F.lit(False))
     parts = []
-    for i, s in enumerate(sources, start=1):
-        t = tables[s.table].filter(F.col("rank").between(s.first, s.last))
-        parts.append(t.select("aid", "neighbor", "rank", F.lit(i).alias("source"), F.lit(s.buys_only).alias("buys")))
-    votes = None
-    if parts:
-        table = reduce(DataFrame.unionByName, parts)
-        moment = F.when(F.col("buys"), F.col("bought")).otherwise(F.col("seen"))
-        votes = ordering.spread_join(seeds.select("session", "aid", "seen", "bought"), table, ["aid"],
-                                     hot_rows=hot_rows).filter(moment.isNotNull()).select(
-            "session", F.col("neighbor").alias("aid"),
-            _place(F.col("source"), -moment["ts"], -moment["event_id"], F.col("rank")).alias("place"))
-    if session_recs is not None and n_recs:
-        recs = unseen_session_recs(
-            session_recs.join(seeds.select("session").distinct(), "session", "left_semi"), seeds, n_recs)
-        zero = F.lit(0)
-        own = recs.select("session", "aid", _place(F.lit(len(sources) + 1), zero, zero, F.col("rank")).alias("place"))
-        votes = own if votes is None else votes.unionByName(own)
-    return votes
+    for name in sorted({s.table for _, s, _ in every}):
+        uses = F.array(*[
+            F.struct(F.lit(i).alias("source"), F.lit(s.first).alias("first"), F.lit(s.last).alias("last"),
+                     F.lit(s.buys_only).alias("buys"), F.lit(long).alias("for_long"))
+            for i, s, long in every if s.table == name])
+        reach = max(s.last for _, s, _ in every if s.table == name)
+        used = tables[name].filter(F.col("rank") <= reach).select("aid", "neighbor", "rank", F.inline(uses))
+        parts.append(used.filter(F.col("rank").between(F.col("first"), F.col("last"))).drop("first", "last"))
+    table = reduce(DataFrame.unionByName, parts)
+    moment = F.when(F.col("buys"), F.col("bought")).otherwise(F.col("seen"))
+    votes = ordering.spread_join(
+        seeds.select("session", "aid", "seen", "bought", "is_long"), table, ["aid"], hot_rows=hot_rows
+    ).filter(moment.isNotNull() & (F.col("is_long") == F.col("for_long"))).select(
+        "session", F.col("neighbor").alias("aid"), "is_long",
+        _place(F.col("source"), -moment["ts"], -moment["event_id"], F.col("rank")).alias("place"))
+    return votes.drop("is_long") if long_sources is None else votes
 
 
 def vote_counts(votes: DataFrame) -> DataFrame:
     return votes.groupBy("session", "aid").agg(F.count("*").alias("votes"), F.min("place").alias("place"))
 
 
-def _short(hist: DataFrame, votes: DataFrame | None, popular: Column, spec: CandidateSpec) -> DataFrame:
-    """History, then voted items, then popular ones, for sessions with fewer than C distinct items."""
+def _recs_votes(session_recs: DataFrame, hist: DataFrame, spec: CandidateSpec) -> DataFrame:
+    """Votes of the first unseen recommended items; they come after all other sources."""
+    kinds = hist.groupBy("session").agg(F.bool_or("is_long").alias("is_long"))
+    most = max(spec.session_recs_short, spec.session_recs_long)
+    recs = unseen_session_recs(session_recs, hist, most).join(kinds, "session")
+    limit = F.when(F.col("is_long"), spec.session_recs_long).otherwise(spec.session_recs_short)
+    after = F.when(F.col("is_long"), len(spec.long) + 1).otherwise(len(spec.short) + 1)
+    zero = F.lit(0)
+    return recs.filter(F.col("rank") <= limit).select(
+        "session", "aid", "is_long", _place(after, zero, zero, F.col("rank")).alias("place"))
+
+
+def suggest(events: DataFrame, tables: Mapping[str, DataFrame], spec: CandidateSpec,
+            session_recs: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Candidates (session, aid, rank, rec) of one event type for every session of ``events``.
+
+    What counts for a (session, item) comes together as marks: its place in the history, its
+    votes, its recency score. Marks of a short session meet in one task, since they are few;
+    those of a long session are spread by item.
+    """
     c = spec.candidates
-    nowhere = "struct<source:int,ts:bigint,id:bigint,rank:int>"
-    seen_type = "struct<ts:bigint,event_id:bigint>"
-    marks = hist.select("session", "aid", F.lit(0).alias("vote"), F.lit(None).cast(nowhere).alias("place"),
-                        F.col("seen").cast(seen_type).alias("seen"))
-    if votes is not None:
-        marks = marks.unionByName(votes.select("session", "aid", F.lit(1).alias("vote"), "place",
-                                               F.lit(None).cast(seen_type).alias("seen")))
-    # One shuffle: sessions are bounded here, so aggregation and windows share it.
-    items = marks.repartition("session").groupBy("session", "aid").agg(
-        F.sum("vote").alias("votes"), F.min("place").alias("place"), F.max("seen").alias("seen"))
-    session = W.partitionBy("session")
-    by_votes = session.orderBy(F.col("votes").desc(), F.col("place"))
+    hist = history(events)
+    sizes = session_sizes(hist)
+    hist = hist.join(sizes.select("session", (F.col("n_hist") >= c).alias("is_long")), "session")
+    scored = recency_score(events, spec.alpha, spec.type_weights, hot_rows, sizes.filter(F.col("n_hist") >= c))
+
+    no_place, no_seen = F.lit(None).cast(_PLACE), F.lit(None).cast(_SEEN)
+    no_score, no_vote = F.lit(0.0), F.lit(0).cast("long")
+
+    def marks_of(df: DataFrame, is_long: Column, vote: Column, place: Column, seen: Column, score: Column) -> DataFrame:
+        return df.select("session", F.col("aid").cast("long").alias("aid"), is_long.alias("is_long"),
+                         vote.alias("vote"), place.alias("place"), seen.alias("seen"), score.alias("score"))
+
+    first = _place(F.lit(0), F.col("opened.ts"), F.col("opened.event_id"), F.lit(0))
+    marks = marks_of(hist.filter(~F.col("is_long")), F.lit(False), no_vote, no_place, F.col("seen").cast(_SEEN), no_score)
+    marks = marks.unionByName(marks_of(scored, F.lit(True), no_vote, first, no_seen, F.col("score")))
+    if spec.short or spec.long:
+        votes = source_votes(hist, tables, spec.short, spec.long, hot_rows)
+        if session_recs is not None and (spec.session_recs_short or spec.session_recs_long):
+            votes = votes.unionByName(_recs_votes(session_recs, hist, spec))
+        marks = marks.unionByName(
+            marks_of(votes, F.col("is_long"), F.lit(1).cast("long"), F.col("place"), no_seen, no_score))
+
+    # 0 for short sessions, else by item: grouping needs no further shuffle in either case.
+    part = F.when(F.col("is_long"), F.pmod(F.xxhash64("aid"), F.lit(1024)).cast("int")).otherwise(0)
+    items = marks.withColumn("part", part).repartition("session", "part").groupBy("session", "part", "aid").agg(
+        F.sum("vote").alias("votes"), F.min("place").alias("place"), F.max("seen").alias("seen"),
+        F.sum("score").alias("score"), F.bool_or("is_long").alias("is_long"))
+    popular = popular_items(events.filter(F.col("type") == spec.popular_type), c).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "aid"))), lambda p: p["aid"].cast("long"))
+        .alias("p")).scalar()
+    return _short(items.filter(~F.col("is_long")), popular, spec).unionByName(
+        _long(items.filter(F.col("is_long")), spec))
+
+
+_PLACE = "struct<source:int,ts:bigint,id:bigint,rank:int>"
+_SEEN = "struct<ts:bigint,event_id:bigint>"
+
+
+def _short(items: DataFrame, popular: Column, spec: CandidateSpec) -> DataFrame:
+    """History, then the best voted items outside it, then popular ones, up to C."""
+    c = spec.candidates
+    session = W.partitionBy("session", "part")
     is_hist = F.col("seen").isNotNull()
     voted = items.withColumns({
-        "vote_rank": F.row_number().over(by_votes),
+        "vote_rank": F.row_number().over(session.orderBy(F.col("votes").desc(), F.col("place"))),
         "top": F.max("votes").over(session),
         "n_hist": F.count("seen").over(session),
     }).filter(is_hist | ((F.col("votes") > 0) & (F.col("vote_rank") <= c)))
@@ -223,52 +283,22 @@ def _short(hist: DataFrame, votes: DataFrame | None, popular: Column, spec: Cand
     kept = voted.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= quota)
     rec = F.when(is_hist, 1.5).otherwise(F.try_divide(F.col("votes").cast("double"), F.col("top").cast("double")))
     ranked = F.sort_array(F.collect_list(F.struct("rank", "aid", rec.alias("rec"))))
-    lists = kept.groupBy("session").agg(F.transform(ranked, lambda p: F.struct(p["aid"].alias("aid"),
-                                                                              p["rec"].alias("rec"))).alias("own"))
-    missing = F.array_except(popular, F.transform("own", lambda p: p["aid"]))
+    own = F.transform(ranked, lambda p: F.struct(p["aid"].alias("aid"), p["rec"].alias("rec")))
+    lists = kept.groupBy("session", "part").agg(own.alias("own")).withColumn("popular", popular)
+    missing = F.array_except("popular", F.transform("own", lambda p: p["aid"]))
     fill = F.transform(missing, lambda a: F.struct(a.alias("aid"), F.lit(0.0).alias("rec")))
     return lists.select("session", F.posexplode(F.slice(F.concat("own", fill), 1, c)).alias("p", "x")).select(
-        "session", F.col("x.aid").alias("aid"), (F.col("p") + 1).alias("rank"), F.col("x.rec").alias("rec"))
-
-
-def _long(events: DataFrame, votes: DataFrame | None, spec: CandidateSpec, hot_rows: int) -> DataFrame:
-    """The C best-scored items, for sessions with at least C distinct items; rec is constant."""
-    scored = recency_score(events, spec.alpha, spec.type_weights, hot_rows).select(
-        "session", "aid", "score", F.lit(0).cast("long").alias("votes"),
-        _place(F.lit(0), F.col("opened")["ts"], F.col("opened")["event_id"], F.lit(0)).alias("place"))
-    if votes is not None:
-        extra = vote_counts(votes).select("session", "aid", F.lit(0.0).alias("score"), "votes", "place")
-        scored = scored.unionByName(extra).groupBy("session", "aid").agg(
-            F.sum("score").alias("score"), F.sum("votes").alias("votes"), F.min("place").alias("place"))
+        "session", "x.aid", (F.col("p") + 1).alias("rank"), "x.rec")
+
+
+def _long(items: DataFrame, spec: CandidateSpec) -> DataFrame:
+    """The C best items by recency score and votes; rec is constant."""
     total = F.round(F.col("score") + F.col("votes") * F.lit(spec.long_vote), 9)
     best = W.partitionBy("session").orderBy(total.desc(), F.col("place"))
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= spec.candidates).select(
+    return items.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= spec.candidates).select(
         "session", "aid", "rank", F.lit(1.5).alias("rec"))
 
 
-def suggest(events: DataFrame, tables: Mapping[str, DataFrame], spec: CandidateSpec,
-            session_recs: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Candidates (session, aid, rank, rec) of one event type for every session of ``events``."""
-    hist = history(events)
-    sizes = hist.groupBy("session").agg(F.count("*").alias("n_hist"))
-    small = sizes.filter(F.col("n_hist") < spec.candidates).select("session")
-    large = sizes.filter(F.col("n_hist") >= spec.candidates).select("session")
-
-    short_hist = hist.join(small, "session", "left_semi")
-    short_votes = source_votes(short_hist, tables, spec.short, session_recs, spec.session_recs_short, hot_rows)
-    k = spec.candidates
-    popular = popular_items(events.filter(F.col("type") == spec.popular_type), k).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "aid"))), lambda p: p["aid"]).alias("p")).scalar()
-    short = _short(short_hist, short_votes, popular, spec)
-
-    long_events = ordering.spread_join(events, large, ["session"], salt_by=["event_id"], hot_rows=hot_rows)
-    long_votes = None
-    if spec.long or spec.session_recs_long:
-        long_hist = ordering.spread_join(hist, large, ["session"], salt_by=["aid"], hot_rows=hot_rows)
-        long_votes = source_votes(long_hist, tables, spec.long, session_recs, spec.session_recs_long, hot_rows)
-    return short.unionByName(_long(long_events, long_votes, spec, hot_rows))
-
-
 def candidate_check(candidates: DataFrame, c: int) -> DataFrame:
     """One row: whether every session has exactly c candidates, and how many sessions fall short."""
     sizes = candidates.groupBy("session").agg(F.count("*").alias("n"))

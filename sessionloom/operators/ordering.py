@@ -22,22 +22,16 @@ from sessionloom.constants import HOT_ROWS
 ORDER = ("ts", "event_id")
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], along: str, hot_rows: int) -> DataFrame:
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(along).alias("_lo"), F.max(along).alias("_hi"))
-        .filter(F.col("_n") > hot_rows)
-        .select(
-            *keys,
-            "_lo",
-            F.when(
-                F.col("_hi") > F.col("_lo"),
-                (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / hot_rows).cast("double"),
-            )
-            .otherwise(1.0)
-            .alias("_width"),
-        )
-    )
+def key_sizes(df: DataFrame, keys: Sequence[str], along: str = "ts") -> DataFrame:
+    """Rows per key and the range of the order column: what the helpers need to know of a frame."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(along).alias("lo"), F.max(along).alias("hi"))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], along: str, hot_rows: int, sizes: DataFrame | None) -> DataFrame:
+    sizes = key_sizes(df, keys, along) if sizes is None else sizes
+    even = (F.col("hi") - F.col("lo")) / F.ceil(F.col("n") / hot_rows).cast("double")
+    hot = sizes.filter(F.col("n") > hot_rows).select(
+        *keys, F.col("lo").alias("_lo"), F.when(F.col("hi") > F.col("lo"), even).otherwise(1.0).alias("_width"))
     place = F.floor((F.col(along) - F.col("_lo")) / F.col("_width")).cast("long")
     return (
         df.join(F.broadcast(hot), list(keys), "left")
@@ -52,12 +46,14 @@ def running_counts(
     order: Sequence[str],
     counters: dict[str, Column],
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per key in the given order, the inclusive running count of each condition.
 
-    The first order column must be a number; the order must be total inside a key.
+    The first order column must be a number; the order must be total inside a key. ``sizes``
+    (see key_sizes) saves a pass over the frame where the caller has it already.
     """
-    s = _sliced(df, keys, order[0], hot_rows)
+    s = _sliced(df, keys, order[0], hot_rows, sizes)
     inside = W.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = s.withColumns({n: F.sum(c.cast("long")).over(inside) for n, c in counters.items()})
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -75,9 +71,9 @@ def running_counts(
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ORDER, name: str = "pos",
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Add the position from 1 of each row inside its key."""
-    return running_counts(df, keys, order, {name: F.lit(True)}, hot_rows)
+    return running_counts(df, keys, order, {name: F.lit(True)}, hot_rows, sizes)
 
 
 def adjacent(
@@ -87,12 +83,13 @@ def adjacent(
     step: int,
     order: Sequence[str] = ORDER,
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add columns of the previous (step -1) or next (step 1) row of the key; null at the end.
 
     ``columns`` maps new names to existing columns.
     """
-    s = _sliced(df, keys, order[0], hot_rows)
+    s = _sliced(df, keys, order[0], hot_rows, sizes)
     value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     rank = F.struct(*order)
     shift = F.lead if step > 0 else F.lag
@@ -121,19 +118,18 @@ def spread_join(
     how: str = "inner",
     salt_by: Sequence[str] = ("session",),
     hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose left side may hold hot keys and whose right side has few rows per key.
 
     Left rows of a hot key are dealt over ``ceil(n / hot_rows)`` salts by a hash of
-    ``salt_by``; only the right rows of hot keys are repeated, once per salt.
+    ``salt_by``; only the right rows of hot keys are repeated, once per salt. ``sizes`` (keys
+    and n) saves counting the left side.
     """
     on = list(on)
-    hot = (
-        left.groupBy(*on)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
+    if sizes is None:
+        sizes = left.groupBy(*on).agg(F.count("*").alias("n"))
+    hot = sizes.filter(F.col("n") > hot_rows).select(*on, F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts"))
     one = F.coalesce("_salts", F.lit(1))
     dealt = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*salt_by), one).cast("int")).drop("_salts")

@@ -15,12 +15,13 @@ def real_sessions(events: DataFrame, time_gap_hours: float = 2.0, hot_rows: int
 
     Adds day of month, hour, the session's event count and ``rs`` (0 for the first visit).
     """
-    gapped = ordering.adjacent(events, ["session"], {"prev_ts": "ts"}, -1, hot_rows=hot_rows)
+    sizes = ordering.key_sizes(events, ["session"])
+    gapped = ordering.adjacent(events, ["session"], {"prev_ts": "ts"}, -1, hot_rows=hot_rows, sizes=sizes)
     starts = F.coalesce((F.col("ts") - F.col("prev_ts")) / 3600.0 > time_gap_hours, F.lit(False))
-    numbered = ordering.running_counts(gapped, ["session"], ordering.ORDER, {"rs": starts}, hot_rows)
-    sizes = events.groupBy("session").agg(F.count("*").alias("num_events"))
+    numbered = ordering.running_counts(gapped, ["session"], ordering.ORDER, {"rs": starts}, hot_rows, sizes)
+    counted = sizes.select("session", F.col("n").alias("num_events"))
     return (
-        ordering.spread_join(numbered, sizes, ["session"], salt_by=["event_id"], hot_rows=hot_rows)
+        ordering.spread_join(numbered, counted, ["session"], salt_by=["event_id"], hot_rows=hot_rows, sizes=sizes)
         .drop("prev_ts")
         .withColumns({"day": X.day_of_month(), "hour": X.hour_of_day()})
     )
