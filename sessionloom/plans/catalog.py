@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sessionloom.plans import queries_basics, queries_candidates  # noqa: F401
+from sessionloom.plans import queries_basics, queries_candidates, queries_features  # noqa: F401
 from sessionloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
