@@ -51,11 +51,12 @@ def _sql(kind: str) -> str:
 
 def interaction_basic(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Time-weighted counts, funnel places and rates of each pair, for all events and per type."""
-    span = X.span_days(X.bounds(events))
     pairs = _pair_sums(_ranked(events, hot_rows))
     ends = pairs.groupBy("session").agg(
         *[F.max(f"ts_max_{k}").alias(f"end_{k}") for k in KINDS],
         *[F.sum(f"n_{k}").alias(f"len_{k}") for k in KINDS])
+    ends = ends.withColumn("span", X.span_days(X.bounds(events)))
+    span = F.col("span")
     joined = ordering.spread_join(pairs, ends, ["session"], salt_by=["aid"], hot_rows=hot_rows)
 
     out: dict[str, Column] = {}
@@ -88,12 +89,12 @@ def interaction_hours(events: DataFrame, intended: bool = False) -> DataFrame:
     The published per-type blocks see only the pair's first event; ``intended`` lets them see
     all events. Distinct days and hours are bits of a mask, which merges map-side.
     """
-    span = X.span_days(X.bounds(events))
-    marked = events.withColumns({"day": X.weekday(), "hour": X.hour_of_day()})
+    marked = events.withColumns({
+        "day": X.weekday(), "hour": X.hour_of_day(), "span": X.span_days(X.bounds(events))})
     kinds: dict[str, Column] = {"all": F.lit(True)}
     if intended:
         kinds |= {e: F.col("type") == t for e, t in EVENT_TYPES.items()}
-    aggs = [F.min(F.struct("ts", "event_id", "type", "day", "hour")).alias("first")]
+    aggs = [F.min(F.struct("ts", "event_id", "type", "day", "hour")).alias("first"), F.max("span").alias("span")]
     for e, cond in kinds.items():
         for u in ("day", "hour"):
             value = F.when(cond, F.col(u))
@@ -110,7 +111,7 @@ def interaction_hours(events: DataFrame, intended: bool = False) -> DataFrame:
                 mine = F.col("first")["type"] == EVENT_TYPES[e]
                 first = F.when(mine, F.col("first")[u])
                 values = [F.when(mine, F.lit(1)), first, first, first]
-            values[0] = X.divide(values[0], span)
+            values[0] = X.divide(values[0], F.col("span"))
             for s, v in zip(("nunique", "mean", "min", "max"), values):
                 out[f"inter_{e}_{u}_{s}"] = F.coalesce(v.cast("double"), F.lit(0.0))
     return pairs.select("session", "aid", *[c.alias(name) for name, c in out.items()])

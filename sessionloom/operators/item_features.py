@@ -34,9 +34,10 @@ def per_pair_sums(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def merge_sums(pairs: DataFrame, key: str) -> DataFrame:
-    """Per key: the merged sums, and how many distinct partners it has (of each event type)."""
-    return pairs.groupBy(key).agg(
+def merge_sums(pairs: DataFrame, key: str, span: Column) -> DataFrame:
+    """Per key: the merged sums, how many distinct partners it has (of each event type), and the span."""
+    return pairs.withColumn("span", span).groupBy(key).agg(
+        F.max("span").alias("span"),
         F.sum("n").alias("n"), F.count("*").alias("uniq"),
         *[F.sum(f"n_{e}").alias(f"n_{e}") for e in EVENT_TYPES],
         *[X.count_where(F.col(f"n_{e}") > 0).alias(f"uniq_{e}") for e in EVENT_TYPES],
@@ -50,9 +51,9 @@ def merge_sums(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
-def common_columns(key: str, partner: str, span: Column) -> dict[str, Column]:
+def common_columns(key: str, partner: str) -> dict[str, Column]:
     """Columns that item and session features share, by output name."""
-    n = F.col("n")
+    n, span = F.col("n"), F.col("span")
     out = {
         f"{key}_{partner}_count": X.divide(n, span),
         f"{key}_{partner}_nunique": X.divide(F.col("uniq"), span),
@@ -101,11 +102,10 @@ def type_shares(intended: bool = False) -> dict[str, Column]:
 
 def item_basic(events: DataFrame, last_week: bool = False, intended_shares: bool = False) -> DataFrame:
     """Counts, weekday histogram, type shares and per-type counts of each item, per day of the frame."""
-    span = X.span_days(X.bounds(events))
-    columns = common_columns("aid", "session", span) | type_shares(intended_shares)
+    columns = common_columns("aid", "session") | type_shares(intended_shares)
     if last_week:
         columns |= time_columns("aid", -1.0)
-    sums = merge_sums(per_pair_sums(events, ["aid", "session"]), "aid")
+    sums = merge_sums(per_pair_sums(events, ["aid", "session"]), "aid", X.span_days(X.bounds(events)))
     return sums.select("aid", *[c.cast("double").alias(name) for name, c in columns.items()])
 
 

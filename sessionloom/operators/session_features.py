@@ -14,12 +14,11 @@ from sessionloom.operators.item_features import (
 
 def session_basic(events: DataFrame) -> DataFrame:
     """Counts, times, weekday histogram, type shares and per-type counts of each session."""
-    span = X.span_days(X.bounds(events))
-    columns = common_columns("session", "aid", span) | time_columns("session", 0.0)
-    columns["session_length_ts"] = X.divide(F.col("ts_max") - F.col("ts_min"), span)
+    columns = common_columns("session", "aid") | time_columns("session", 0.0)
+    columns["session_length_ts"] = X.divide(F.col("ts_max") - F.col("ts_min"), F.col("span"))
     for e in EVENT_TYPES:
         columns[f"session_percent_count_{e}"] = F.col(f"n_{e}") / F.col("n")
-    sums = merge_sums(per_pair_sums(events, ["session", "aid"]), "session")
+    sums = merge_sums(per_pair_sums(events, ["session", "aid"]), "session", X.span_days(X.bounds(events)))
     return sums.select("session", *[c.cast("double").alias(name) for name, c in columns.items()])
 
 
@@ -87,10 +86,10 @@ def session_clock(events: DataFrame, absolute: bool = False, hot_rows: int = HOT
     clock = events if absolute else events.withColumn("ts", F.col("ts") - limits["lo"])
     clock = clock.withColumns({"day": X.weekday(), "hour": X.hour_of_day()}).withColumn(
         "hm", F.col("hour") * 100 + F.expr("(cast(pmod(ts, 3600) div 60 as int) * 100) div 60").cast("int"))
-    per_session = clock.groupBy("session").agg(
+    per_session = clock.withColumn("span", span).groupBy("session").agg(
         F.avg("hm").alias("hm_mean"), F.coalesce(F.stddev_samp("hm"), F.lit(0.0)).alias("hm_std"),
-        *[X.divide(X.count_where(F.col("day") == d), span).alias(f"day{d}cnt") for d in range(7)],
-        *[X.divide(X.count_where(F.col("hour") == h), span).alias(f"hour{h}cnt") for h in range(24)],
+        *[X.divide(X.count_where(F.col("day") == d), F.max("span")).alias(f"day{d}cnt") for d in range(7)],
+        *[X.divide(X.count_where(F.col("hour") == h), F.max("span")).alias(f"hour{h}cnt") for h in range(24)],
     )
     rows = clock.select("session", "aid", "ts", "type", "event_id", "day", "hour", "hm")
     return ordering.spread_join(rows, per_session, ["session"], salt_by=["event_id"], hot_rows=hot_rows)
