@@ -131,7 +131,7 @@ def test_bpr_ranks_seen_items_first(spark, blocks):
     rng = np.random.default_rng(4)
     rows = sorted({(s, int(i) + 10 * (s % 2)) for s in range(40) for i in rng.choice(10, 5)})
     seen = spark.createDataFrame(rows, "session long, aid long")
-    users, items = fa.bpr(seen, replace(fa.BPR, width=8, epochs=25, blocks=blocks))
+    users, items = fa.bpr(seen, replace(fa.BPR, width=8, epochs=10, blocks=blocks))
     got = lists(em.recommend(users, items, 5, seen))
     own = [np.mean([(i >= 10) == bool(s % 2) for i in got[s]]) for s in range(40)]
     assert np.mean(own) > 0.8
