@@ -6,7 +6,7 @@ with at least C distinct items rank what they saw by recency and kind of event.
 
 All neighbour tables of an event are looked up in one join, for both kinds of session. Short
 sessions have fewer than C items, so their votes are bounded; those of long sessions are
-aggregated by (session, item), and the top-C window cuts them map-side.
+aggregated before they are shuffled, and the top-C window cuts them map-side.
 """
 
 from __future__ import annotations
@@ -174,98 +174,121 @@ def _place(source: Column, ts: Column, event_id: Column, rank: Column) -> Column
                     event_id.cast("long").alias("id"), rank.cast("int").alias("rank"))
 
 
-def source_votes(seeds: DataFrame, tables: Mapping[str, DataFrame], sources: Sequence[Source],
-                 long_sources: Sequence[Source] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """One row (session, aid, place) per vote of the sources for the seeds' neighbours.
+def neighbour_lists(tables: Mapping[str, DataFrame], reach: Mapping[str, int]) -> DataFrame:
+    """One row per item with one array column per table: its first ``reach`` neighbours in rank order.
 
-    ``seeds`` is a history; its rows of hot items are dealt over several tasks. Each table is
-    read once, however many sources use it. With ``long_sources`` the seeds have a column
-    ``is_long`` that says which list of sources they vote by; it is kept.
+    Ranks run from 1 without gaps, so a neighbour's place in the array is its rank.
     """
-    every = [(i, s, False) for i, s in enumerate(sources, start=1)]
-    every += [(i, s, True) for i, s in enumerate(long_sources or (), start=1)]
-    if long_sources is None:
-        seeds = seeds.withColumn("is_long", F.lit(False))
-    parts = []
-    for name in sorted({s.table for _, s, _ in every}):
-        uses = F.array(*[
-            F.struct(F.lit(i).alias("source"), F.lit(s.first).alias("first"), F.lit(s.last).alias("last"),
-                     F.lit(s.buys_only).alias("buys"), F.lit(long).alias("for_long"))
-            for i, s, long in every if s.table == name])
-        reach = max(s.last for _, s, _ in every if s.table == name)
-        used = tables[name].filter(F.col("rank") <= reach).select("aid", "neighbor", "rank", F.inline(uses))
-        parts.append(used.filter(F.col("rank").between(F.col("first"), F.col("last"))).drop("first", "last"))
-    table = reduce(DataFrame.unionByName, parts)
-    moment = F.when(F.col("buys"), F.col("bought")).otherwise(F.col("seen"))
-    votes = ordering.spread_join(
-        seeds.select("session", "aid", "seen", "bought", "is_long"), table, ["aid"], hot_rows=hot_rows
-    ).filter(moment.isNotNull() & (F.col("is_long") == F.col("for_long"))).select(
-        "session", F.col("neighbor").alias("aid"), "is_long",
-        _place(F.col("source"), -moment["ts"], -moment["event_id"], F.col("rank")).alias("place"))
-    return votes.drop("is_long") if long_sources is None else votes
+    rows = reduce(DataFrame.unionByName, [
+        tables[n].filter(F.col("rank") <= k).select(
+            F.col("aid").cast("long").alias("aid"), F.col("neighbor").cast("long").alias("neighbor"), "rank",
+            F.lit(n).alias("table"))
+        for n, k in reach.items()])
+    ranked = {n: F.sort_array(F.collect_list(F.when(F.col("table") == n, F.struct("rank", "neighbor")))) for n in reach}
+    return rows.groupBy("aid").agg(*[
+        F.transform(r, lambda x: x["neighbor"]).alias(n) for n, r in ranked.items()])
+
+
+def _reach(*lists: Sequence[Source]) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for s in (s for each in lists for s in each):
+        out[s.table] = max(out.get(s.table, 0), s.last)
+    return out
+
+
+_PLACE = "struct<source:int,ts:bigint,id:bigint,rank:int>"
+_SEEN = "struct<ts:bigint,event_id:bigint>"
+_MARK = f"struct<aid:bigint,vote:bigint,place:{_PLACE},seen:{_SEEN}>"
+
+
+def _mark(aid: Column, vote: int, place: Column, seen: Column) -> Column:
+    return F.struct(aid.cast("long").alias("aid"), F.lit(vote).cast("long").alias("vote"),
+                    place.cast(_PLACE).alias("place"), seen.cast(_SEEN).alias("seen")).cast(_MARK)
+
+
+def _vote_marks(sources: Sequence[Source]) -> Column:
+    """The votes of one seed item, from the neighbour arrays of its row, as an array of marks."""
+    none = F.array().cast(f"array<{_MARK}>")
+
+    def votes_of(number: int, s: Source) -> Column:
+        moment = F.col("bought" if s.buys_only else "seen")
+
+        def vote(x: Column, k: Column) -> Column:
+            return _mark(x, 1, _place(F.lit(number), -moment["ts"], -moment["event_id"], k + s.first), F.lit(None))
+
+        listed = F.transform(F.slice(F.col(s.table), s.first, s.last - s.first + 1), vote)
+        return F.coalesce(F.when(moment.isNotNull(), listed), none)
+
+    return F.concat(none, *[votes_of(i, s) for i, s in enumerate(sources, start=1)])
+
+
+def source_votes(seeds: DataFrame, tables: Mapping[str, DataFrame], sources: Sequence[Source],
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row (session, aid, place) per vote of the sources for the neighbours of a history's items."""
+    lists = neighbour_lists(tables, _reach(sources))
+    met = ordering.spread_join(seeds.select("session", "aid", "seen", "bought"), lists, ["aid"], hot_rows=hot_rows)
+    return met.select("session", F.inline(_vote_marks(sources))).select("session", "aid", "place")
 
 
 def vote_counts(votes: DataFrame) -> DataFrame:
     return votes.groupBy("session", "aid").agg(F.count("*").alias("votes"), F.min("place").alias("place"))
 
 
-def _recs_votes(session_recs: DataFrame, hist: DataFrame, spec: CandidateSpec) -> DataFrame:
-    """Votes of the first unseen recommended items; they come after all other sources."""
+def _recs_lists(session_recs: DataFrame, hist: DataFrame, spec: CandidateSpec) -> DataFrame:
+    """session, is_long and the array of its first unseen recommended items."""
     kinds = hist.groupBy("session").agg(F.bool_or("is_long").alias("is_long"))
     most = max(spec.session_recs_short, spec.session_recs_long)
     recs = unseen_session_recs(session_recs, hist, most).join(kinds, "session")
     limit = F.when(F.col("is_long"), spec.session_recs_long).otherwise(spec.session_recs_short)
-    after = F.when(F.col("is_long"), len(spec.long) + 1).otherwise(len(spec.short) + 1)
-    zero = F.lit(0)
-    return recs.filter(F.col("rank") <= limit).select(
-        "session", "aid", "is_long", _place(after, zero, zero, F.col("rank")).alias("place"))
+    ranked = F.sort_array(F.collect_list(F.struct("rank", F.col("aid").cast("long").alias("aid"))))
+    return recs.filter(F.col("rank") <= limit).groupBy("session", "is_long").agg(
+        F.transform(ranked, lambda x: x["aid"]).alias("recs"))
 
 
 def suggest(events: DataFrame, tables: Mapping[str, DataFrame], spec: CandidateSpec,
             session_recs: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidates (session, aid, rank, rec) of one event type for every session of ``events``.
 
-    What counts for a (session, item) comes together as marks: its place in the history, its
-    votes, its recency score. Marks of a short session meet in one task, since they are few;
-    those of a long session are spread by item.
+    A history item travels to its session with its neighbour lists as arrays of numbers;
+    votes become rows only behind that shuffle, where they are counted at once. A short
+    session is one group there; a long one is cut by seed item and its counts are merged.
     """
     c = spec.candidates
     hist = history(events)
     sizes = session_sizes(hist)
     hist = hist.join(sizes.select("session", (F.col("n_hist") >= c).alias("is_long")), "session")
-    scored = recency_score(events, spec.alpha, spec.type_weights, hot_rows, sizes.filter(F.col("n_hist") >= c))
 
-    no_place, no_seen = F.lit(None).cast(_PLACE), F.lit(None).cast(_SEEN)
-    no_score, no_vote = F.lit(0.0), F.lit(0).cast("long")
-
-    def marks_of(df: DataFrame, is_long: Column, vote: Column, place: Column, seen: Column, score: Column) -> DataFrame:
-        return df.select("session", F.col("aid").cast("long").alias("aid"), is_long.alias("is_long"),
-                         vote.alias("vote"), place.alias("place"), seen.alias("seen"), score.alias("score"))
-
-    first = _place(F.lit(0), F.col("opened.ts"), F.col("opened.event_id"), F.lit(0))
-    marks = marks_of(hist.filter(~F.col("is_long")), F.lit(False), no_vote, no_place, F.col("seen").cast(_SEEN), no_score)
-    marks = marks.unionByName(marks_of(scored, F.lit(True), no_vote, first, no_seen, F.col("score")))
-    if spec.short or spec.long:
-        votes = source_votes(hist, tables, spec.short, spec.long, hot_rows)
-        if session_recs is not None and (spec.session_recs_short or spec.session_recs_long):
-            votes = votes.unionByName(_recs_votes(session_recs, hist, spec))
-        marks = marks.unionByName(
-            marks_of(votes, F.col("is_long"), F.lit(1).cast("long"), F.col("place"), no_seen, no_score))
-
-    # 0 for short sessions, else by item: grouping needs no further shuffle in either case.
+    sent = hist.select("session", F.col("aid").cast("long").alias("aid"), F.col("seen").cast(_SEEN).alias("seen"),
+                       F.col("bought").cast(_SEEN).alias("bought"), "is_long")
+    reach = _reach(spec.short, spec.long)
+    if reach:
+        sent = ordering.spread_join(sent, neighbour_lists(tables, reach), ["aid"], "left", hot_rows=hot_rows)
+    with_recs = session_recs is not None and (spec.session_recs_short or spec.session_recs_long)
+    if with_recs:
+        sent = sent.unionByName(_recs_lists(session_recs, hist, spec), allowMissingColumns=True)
     part = F.when(F.col("is_long"), F.pmod(F.xxhash64("aid"), F.lit(1024)).cast("int")).otherwise(0)
-    items = marks.withColumn("part", part).repartition("session", "part").groupBy("session", "part", "aid").agg(
+    sent = sent.withColumn("part", part).repartition("session", "part")
+
+    nothing = F.array().cast(f"array<{_MARK}>")
+    own = F.when(F.col("aid").isNotNull() & ~F.col("is_long"),
+                 F.array(_mark(F.col("aid"), 0, F.lit(None), F.col("seen")))).otherwise(nothing)
+    votes = F.when(F.col("is_long"), _vote_marks(spec.long)).otherwise(_vote_marks(spec.short))
+    if with_recs:
+        last = F.when(F.col("is_long"), len(spec.long) + 1).otherwise(len(spec.short) + 1)
+        zero = F.lit(0)
+        voted = F.transform("recs", lambda x, k: _mark(x, 1, _place(last, zero, zero, k + 1), F.lit(None)))
+        votes = F.concat(votes, F.coalesce(voted, nothing))
+    items = sent.select("session", "part", "is_long", F.inline(F.concat(own, votes))).groupBy(
+        "session", "part", "aid").agg(
         F.sum("vote").alias("votes"), F.min("place").alias("place"), F.max("seen").alias("seen"),
-        F.sum("score").alias("score"), F.bool_or("is_long").alias("is_long"))
+        F.bool_or("is_long").alias("is_long"))
+
     popular = popular_items(events.filter(F.col("type") == spec.popular_type), c).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "aid"))), lambda p: p["aid"].cast("long"))
         .alias("p")).scalar()
+    scored = recency_score(events, spec.alpha, spec.type_weights, hot_rows, sizes.filter(F.col("n_hist") >= c))
     return _short(items.filter(~F.col("is_long")), popular, spec).unionByName(
-        _long(items.filter(F.col("is_long")), spec))
-
-
-_PLACE = "struct<source:int,ts:bigint,id:bigint,rank:int>"
-_SEEN = "struct<ts:bigint,event_id:bigint>"
+        _long(scored, items.filter(F.col("is_long")), spec))
 
 
 def _short(items: DataFrame, popular: Column, spec: CandidateSpec) -> DataFrame:
@@ -291,11 +314,18 @@ def _short(items: DataFrame, popular: Column, spec: CandidateSpec) -> DataFrame:
         "session", "x.aid", (F.col("p") + 1).alias("rank"), "x.rec")
 
 
-def _long(items: DataFrame, spec: CandidateSpec) -> DataFrame:
+def _long(scored: DataFrame, voted: DataFrame, spec: CandidateSpec) -> DataFrame:
     """The C best items by recency score and votes; rec is constant."""
+    first = _place(F.lit(0), F.col("opened.ts"), F.col("opened.event_id"), F.lit(0))
+    marks = scored.select("session", F.col("aid").cast("long").alias("aid"), "score",
+                          F.lit(0).cast("long").alias("votes"), first.alias("place"))
+    if spec.long or spec.session_recs_long:
+        marks = marks.unionByName(voted.select("session", "aid", F.lit(0.0).alias("score"), "votes", "place"))
+        marks = marks.groupBy("session", "aid").agg(
+            F.sum("score").alias("score"), F.sum("votes").alias("votes"), F.min("place").alias("place"))
     total = F.round(F.col("score") + F.col("votes") * F.lit(spec.long_vote), 9)
     best = W.partitionBy("session").orderBy(total.desc(), F.col("place"))
-    return items.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= spec.candidates).select(
+    return marks.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= spec.candidates).select(
         "session", "aid", "rank", F.lit(1.5).alias("rec"))
 
 
