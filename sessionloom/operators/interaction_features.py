@@ -53,11 +53,12 @@ def interaction_basic(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Time-weighted counts, funnel places and rates of each pair, for all events and per type."""
     pairs = _pair_sums(_ranked(events, hot_rows))
     ends = pairs.groupBy("session").agg(
+        F.count("*").alias("n"),
         *[F.max(f"ts_max_{k}").alias(f"end_{k}") for k in KINDS],
         *[F.sum(f"n_{k}").alias(f"len_{k}") for k in KINDS])
     ends = ends.withColumn("span", X.span_days(X.bounds(events)))
     span = F.col("span")
-    joined = ordering.spread_join(pairs, ends, ["session"], salt_by=["aid"], hot_rows=hot_rows)
+    joined = ordering.spread_join(pairs, ends, ["session"], salt_by=["aid"], hot_rows=hot_rows, sizes=ends)
 
     out: dict[str, Column] = {}
     for k in KINDS:

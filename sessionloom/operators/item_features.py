@@ -136,17 +136,18 @@ def pair_gaps(events: DataFrame, prefix: str, with_std: bool, hot_rows: int = HO
     """
     limits = X.bounds(events)
     rel = events.select("session", "aid", "event_id", (F.col("ts") - limits["lo"]).alias("ts"))
-    gaps = ordering.adjacent(rel, ["session", "aid"], {"prev_ts": "ts"}, -1, hot_rows=hot_rows)
     stats = [F.count("*").alias("n"), F.sum("ts").alias("s"), F.min("ts").alias("lo"), F.max("ts").alias("hi")]
     pairs = rel.groupBy("session", "aid").agg(*stats, *X.square_sums("ts", "sq"))
     pairs = pairs.withColumn("std", X.deviation(F.col("n"), F.col("s"), "sq"))
+    gaps = ordering.adjacent(rel, ["session", "aid"], {"prev_ts": "ts"}, -1, hot_rows=hot_rows, sizes=pairs)
     gap = F.col("ts") - F.col("prev_ts")
     out = {f"{prefix}_ts_diff_avg": X.divide(gap, F.col("s") / F.col("n"))}
     if with_std:
         out[f"{prefix}_ts_diff_std"] = X.divide(gap, F.col("std"))
     out[f"{prefix}_ts_diff_min"] = X.divide(gap, F.col("lo"))
     out[f"{prefix}_ts_diff_max"] = X.divide(gap, F.col("hi"))
-    joined = ordering.spread_join(gaps, pairs, ["session", "aid"], salt_by=["event_id"], hot_rows=hot_rows)
+    joined = ordering.spread_join(
+        gaps, pairs, ["session", "aid"], salt_by=["event_id"], hot_rows=hot_rows, sizes=pairs)
     return joined.select("session", "aid", "event_id", *[c.alias(name) for name, c in out.items()])
 
 

@@ -100,11 +100,11 @@ def percentile(df: DataFrame, keys: list[str], value: str, n: float, tie: str, h
 
     The values are ranked in slices instead of being gathered per key, so a key of any size works.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_size"))
-    ranked = ordering.positions(df.select(*keys, value, tie), keys, [value, tie], "_pos", hot_rows)
-    at = (F.col("_size") - 1) * F.lit(n / 100.0)
+    sizes = ordering.key_sizes(df, keys, value)
+    ranked = ordering.positions(df.select(*keys, value, tie), keys, [value, tie], "_pos", hot_rows, sizes)
+    at = (F.col("n") - 1) * F.lit(n / 100.0)
     low, high = F.floor(at) + 1, F.ceil(at) + 1
-    near = ordering.spread_join(ranked, sizes, keys, salt_by=[tie], hot_rows=hot_rows).filter(
+    near = ordering.spread_join(ranked, sizes, keys, salt_by=[tie], hot_rows=hot_rows, sizes=sizes).filter(
         (F.col("_pos") == low) | (F.col("_pos") == high))
     lower, upper = F.min(value), F.max(value)
     return near.groupBy(*keys).agg(

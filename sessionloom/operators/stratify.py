@@ -6,7 +6,7 @@ of a hash of their id. Strata are few and large, so their rows are numbered in s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,42 +15,48 @@ from sessionloom.functions import expressions as X
 from sessionloom.operators import ordering
 
 
-def _starts(df: DataFrame, labels: list[str]) -> DataFrame:
-    """Rows before each stratum: one row per distinct label vector (at most 2^labels)."""
-    sizes = df.groupBy(*labels).agg(F.count("*").alias("_size"))
-    before = W.orderBy(*labels).rowsBetween(W.unboundedPreceding, -1)
-    return sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+def _numbered(df: DataFrame, id_col: str, labels: list[str], seed: Column, hot_rows: int,
+              also: tuple[str, ...] = ()) -> DataFrame:
+    """Add the row's place in its stratum, the stratum's size, and the rows in strata before it.
+
+    There is one stratum per distinct label vector (at most 2^labels), so the window over
+    strata is small. ``also`` names columns that number the strata separately.
+    """
+    keys = [*also, *labels]
+    hashed = df.withColumn("_h", seed)
+    sizes = ordering.key_sizes(hashed, keys, "_h")
+    placed = ordering.positions(hashed, keys, ["_h", id_col], "_pos", hot_rows, sizes)
+    before = W.partitionBy(*also).orderBy(*labels).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.col("n").alias("_size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return ordering.spread_join(placed, starts, keys, salt_by=[id_col], hot_rows=hot_rows, sizes=sizes).drop("_h")
+
+
+def _fold(folds: int) -> Column:
+    return F.pmod(F.col("_start") + F.col("_pos") - 1, F.lit(folds)).cast("int")
 
 
 def stratified_folds(df: DataFrame, id_col: str, labels: list[str], folds: int = 3, seed: int = 0,
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``fold``: each label vector is spread evenly, and so is the whole frame."""
-    hashed = df.withColumn("_h", X.spread(F.col(id_col), seed))
-    placed = ordering.positions(hashed, labels, ["_h", id_col], "_pos", hot_rows)
-    dealt = ordering.spread_join(placed, _starts(df, labels), labels, salt_by=[id_col], hot_rows=hot_rows)
-    return dealt.withColumn("fold", F.pmod(F.col("_start") + F.col("_pos") - 1, F.lit(folds)).cast("int")).drop(
-        "_h", "_pos", "_start", "_size")
+    numbered = _numbered(df, id_col, labels, X.spread(F.col(id_col), seed), hot_rows)
+    return numbered.withColumn("fold", _fold(folds)).drop("_pos", "_start", "_size")
 
 
 def repeated_folds(df: DataFrame, id_col: str, labels: list[str], folds: int = 5, repeats: int = 10,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """stratified_folds once per repeat, each with another order of dealing."""
     many = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    hashed = many.withColumn("_h", X.spread(F.col(id_col) + F.col("repeat") * 1000003, 1))
-    placed = ordering.positions(hashed, ["repeat", *labels], ["_h", id_col], "_pos", hot_rows)
-    dealt = ordering.spread_join(placed, _starts(df, labels), labels, salt_by=[id_col, "repeat"], hot_rows=hot_rows)
-    return dealt.withColumn("fold", F.pmod(F.col("_start") + F.col("_pos") - 1, F.lit(folds)).cast("int")).drop(
-        "_h", "_pos", "_start", "_size")
+    order = X.spread(F.col(id_col) + F.col("repeat") * 1000003, 1)
+    return _numbered(many, id_col, labels, order, hot_rows, ("repeat",)).withColumn("fold", _fold(folds)).drop(
+        "_pos", "_start", "_size")
 
 
 def stratified_split(df: DataFrame, id_col: str, labels: list[str], test_size: float = 0.1, seed: int = 0,
                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add ``is_test``: the rounded share of each label vector."""
-    hashed = df.withColumn("_h", X.spread(F.col(id_col), seed))
-    placed = ordering.positions(hashed, labels, ["_h", id_col], "_pos", hot_rows)
-    sized = ordering.spread_join(placed, _starts(df, labels), labels, salt_by=[id_col], hot_rows=hot_rows)
+    sized = _numbered(df, id_col, labels, X.spread(F.col(id_col), seed), hot_rows)
     n_test = F.floor(F.col("_size") * F.lit(test_size) + 0.5)
-    return sized.withColumn("is_test", F.col("_pos") <= n_test).drop("_h", "_pos", "_start", "_size")
+    return sized.withColumn("is_test", F.col("_pos") <= n_test).drop("_pos", "_start", "_size")
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -67,7 +67,8 @@ def merge_features(candidates: DataFrame, items: DataFrame, sessions: DataFrame,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """Candidates with item, session and interaction features as doubles; -1 where a feature is absent.
 
-    Popular items are candidates of very many sessions, so the item join deals them out.
+    Popular items are candidates of very many sessions, so the item join deals them out. The
+    candidates are read twice for that; give a written or checkpointed table.
     """
     rows = candidates.withColumn("rec", F.col("rec").cast("double"))
     merged = (

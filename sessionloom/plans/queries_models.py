@@ -122,7 +122,7 @@ MERGED = [
 
 
 def merged(spark, d, event: str = "carts"):
-    rows = tr.with_rank_weight(labelled(spark, d, event), C)
+    rows = tables.cut_lineage(tr.with_rank_weight(labelled(spark, d, event), C))
     return tr.merge_features(rows, af.item_table(inputs.known(spark, d), inputs.TEST_FROM),
                              sf.session_table(inputs.test(spark, d)), xf.interaction_table(inputs.test(spark, d)))
 
