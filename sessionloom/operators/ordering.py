@@ -90,24 +90,24 @@ def adjacent(
     ``columns`` maps new names to existing columns.
     """
     s = _sliced(df, keys, order[0], hot_rows, sizes)
-    value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
-    rank = F.struct(*order)
     shift = F.lead if step > 0 else F.lag
     inside = W.partitionBy(*keys, "_slice").orderBy(*order)
     across = W.partitionBy(*keys).orderBy("_slice")
-    edge = F.min_by(value, rank) if step > 0 else F.max_by(value, rank)
+    value = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
+    edge = F.min_by(value, F.struct(*order)) if step > 0 else F.max_by(value, F.struct(*order))
     edges = (
         s.filter("_hot")
         .groupBy(*keys, "_slice")
         .agg(edge.alias("_edge"))
         .select(*keys, "_slice", shift("_edge").over(across).alias("_edge"))
     )
+    # Only a slice's outermost row, which has no neighbour inside, looks across the edge.
+    near = s.withColumns({"_end": shift(order[0]).over(inside).isNull(),
+                          **{n: shift(c).over(inside) for n, c in columns.items()}})
     return (
-        s.withColumn("_near", shift(value).over(inside))
-        .join(F.broadcast(edges), [*keys, "_slice"], "left")
-        .withColumn("_near", F.coalesce("_near", "_edge"))
-        .withColumns({n: F.col("_near")[n] for n in columns})
-        .drop("_slice", "_hot", "_near", "_edge")
+        near.join(F.broadcast(edges), [*keys, "_slice"], "left")
+        .withColumns({n: F.when(F.col("_end"), F.col("_edge")[n]).otherwise(F.col(n)) for n in columns})
+        .drop("_slice", "_hot", "_end", "_edge")
     )
 
 
