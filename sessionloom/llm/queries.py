@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import mixing, packing, simhash, tokenfiles, urlfilter
+from sessionloom.llm import licenses, mixing, packing, pii, simhash, tokenfiles, toxicity, urlfilter, vectors
 from sessionloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,33 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark) + "/token-files"
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
     return tokenfiles.read_token_files(spark, folder)
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from labels outside the held-out quarter; the labels are no input of a score."""
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "evidence",
+                        F.size("passages").alias("n_passages"))
+
+
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_near_duplicates")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_top_k_search")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
