@@ -1,8 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-1. Of labelled rows, every word (and its first 3 to 6 letters, for words not seen before) gets
+1. Of labelled rows, every word (and its first 4 to 6 letters, for words not seen before) gets
    the log-odds of toxic against clean documents under a symmetric Dirichlet prior. Units that
    speak for toxicity significantly form the lexicon; any other token scores a small penalty.
+   A unit counts once for each different word before it, so that copies of a text count once.
 2. One linear scan finds all maximal segments of positive score (Ruzzo and Tompa).
 3. A segment of score S in n tokens has the expectation E = K n exp(-lambda S) under clean text
    (Karlin and Altschul), with lambda and K from clean rows that the lexicon was not made of;
@@ -27,7 +28,7 @@ from sessionloom.sources.tables import cut_lineage
 
 SPLIT = r"[^\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
-PREFIXES = (6, 5, 4, 3)
+PREFIXES = (6, 5, 4)
 
 
 @dataclass(frozen=True)
@@ -114,7 +115,7 @@ def sample_labels(labels: DataFrame, usable: Column, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 20_000, units: int = 50_000, prior: float = 0.5,
-        least: int = 3, odds: float = 2.0, z: float = 2.5, penalty: float = 0.1) -> Model:
+        least: int = 3, odds: float = 2.0, z: float = 3.3, penalty: float = 0.25) -> Model:
     """A model from labelled documents.
 
     ``rows`` bounds the labelled rows of each class that are used, ``units`` the lexicon; both
@@ -126,18 +127,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = 20_000,
     # At most 2 * rows pairs of numbers are broadcast.
     known = text.join(F.broadcast(sample), "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(4)) > 0)
     learn = known.filter("own")
-    words = learn.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT))).alias("word")).filter("word <> ''")
-    counted = cut_lineage(words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
+    words = F.filter(F.split(F.lower("text"), SPLIT), lambda w: w != "")
+    pairs = learn.select("toxic", F.explode(F.arrays_zip(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before"))).alias("p"))
+    seen = pairs.filter("p.word is not null").groupBy("p.word", "p.before").agg(
+        F.max("toxic").alias("a"), F.max(1 - F.col("toxic")).alias("b"))
+    counted = cut_lineage(seen.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     openings = counted.select("a", "b", "word", F.explode(F.array(*[F.lit(n) for n in PREFIXES])).alias("n")).filter(
         F.char_length("word") > F.col("n")).groupBy(F.concat(F.substring("word", F.lit(1), F.col("n")), F.lit("*")).alias("word")).agg(
         F.sum("a").alias("a"), F.sum("b").alias("b"))
-    total = {r["toxic"]: r["n"] for r in learn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    t, c = float(total.get(1, 0)), float(total.get(0, 0))
+    total = counted.agg(F.sum("a"), F.sum("b")).first()
 
-    def share(col: str, of: float) -> Column:
-        return F.log((F.col(col) + prior) / F.greatest(of - F.col(col), F.lit(0.0)).__add__(prior))
+    def share(count: str, of: float | None) -> Column:
+        return F.log((F.col(count) + prior) / (float(of or 0) - F.col(count) + prior))
 
-    both = counted.unionByName(openings).filter(F.col("a") >= least).withColumn("odds", share("a", t) - share("b", c))
+    both = counted.unionByName(openings).filter(F.col("a") >= least).withColumn("odds", share("a", total[0]) - share("b", total[1]))
     both = both.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("a") + prior) + 1 / (F.col("b") + prior)))
     top = both.filter((F.col("odds") >= odds) & (F.col("z") >= z)).orderBy(F.col("z").desc(), "word").limit(units).collect()
     model = Model({r["word"]: float(r["odds"]) for r in top}, penalty, 1.0, 0.1, (0.0, 0.0))
