@@ -1,5 +1,7 @@
-"""All queries of the corpus operators."""
+"""All queries of the corpus operators and of the pipeline over them."""
 
-from sessionloom.llm.queries import QUERIES, SQL
+import corpus_pipeline
+from sessionloom.llm import queries
 
-__all__ = ["QUERIES", "SQL"]
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
+SQL = {**queries.SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

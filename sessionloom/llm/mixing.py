@@ -102,3 +102,11 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, unweighted: float = 1
         keyed.join(bins, ["src", "a"]).withColumn("times", F.col("epochs") + extra)
         .select("doc_id", "size", "source", "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
     )
+
+
+def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as many times as ``mixed`` (see mix) takes them."""
+    times = mixed.filter("times > 0").select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "times").distinct().withColumnRenamed("times", "_n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
+    taken = docs.join(times, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return taken.select(*[F.col(c) for c in docs.columns])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.llm import licenses, mixing, packing, pii, simhash, tokenfiles, toxicity, urlfilter, vectors
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def held_out(doc_id: Column) -> Column:
+    """The quarter of documents whose labels are never learnt from; documents without an id are not in it."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("long").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -129,9 +134,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learnt from labels outside the held-out quarter; the labels are no input of a score."""
     docs = table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held = held_out(F.col("doc_id"))
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held))
-    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "evidence",
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted", "evidence",
                         F.size("passages").alias("n_passages"))
 
 

@@ -137,3 +137,15 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     # A class may hold a third of the rows; adaptive execution splits such a join's large side.
     return found.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One row of each near-duplicate component: the one of its smallest doc_id.
+
+    Of rows with one doc_id one stays. Rows without a doc_id cannot be named as anyone's copy
+    and stay.
+    """
+    found = near_duplicates(docs, words)
+    kept = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -206,3 +206,18 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     schema = "doc_id long, score double, predicted int, evidence double, passages array<struct<start:long,end:long,score:double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, whatever their columns, whose text scores below the threshold; no shuffle."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        memo = _Scores(model)
+        for b in batches:
+            texts = (t or "" for t in b.column(b.schema.names.index("text")).to_pylist())
+            p = [probability(model, evidence(model, n, found)) for n, found, _ in _scan(model, texts, memo)]
+            yield b.filter(pa.array([x < threshold for x in p], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
