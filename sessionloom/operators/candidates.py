@@ -111,19 +111,17 @@ def history(events: DataFrame) -> DataFrame:
         F.max(F.when(F.col("type").isin(1, 2), moment)).alias("bought"))
 
 
-def history_ranked(events: DataFrame, buys_only: bool = False) -> DataFrame:
+def history_ranked(events: DataFrame, buys_only: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct items of each session, most recent first, with their rank."""
     if buys_only:
         events = events.filter(F.col("type").isin(1, 2))
-    recent = W.partitionBy("session").orderBy(F.col("seen").desc())
-    return history(events).select("session", "aid", F.row_number().over(recent).alias("rank"))
+    late = history(events).select("session", "aid", "seen")
+    return ordering.positions(late, ["session"], [F.col("seen").desc()], "rank", hot_rows).select("session", "aid", "rank")
 
 
 def session_sizes(hist: DataFrame) -> DataFrame:
-    """Events, distinct items and time range of each session, from its history."""
-    return hist.groupBy("session").agg(
-        F.sum("n").alias("n"), F.count("*").alias("n_hist"),
-        F.min("opened.ts").alias("lo"), F.max("seen.ts").alias("hi"))
+    """Events and distinct items of each session, from its history."""
+    return hist.groupBy("session").agg(F.sum("n").alias("n"), F.count("*").alias("n_hist"))
 
 
 def recency_score(events: DataFrame, alpha: float, type_weights: Mapping[int, float] = TYPE_WEIGHTS,
@@ -256,7 +254,8 @@ def suggest(events: DataFrame, tables: Mapping[str, DataFrame], spec: CandidateS
     c = spec.candidates
     hist = history(events)
     sizes = session_sizes(hist)
-    hist = hist.join(sizes.select("session", (F.col("n_hist") >= c).alias("is_long")), "session")
+    kinds = sizes.select("session", F.col("n_hist").alias("n"), (F.col("n_hist") >= c).alias("is_long"))
+    hist = ordering.spread_join(hist, kinds.drop("n"), ["session"], salt_by=["aid"], hot_rows=hot_rows, sizes=kinds)
 
     sent = hist.select("session", F.col("aid").cast("long").alias("aid"), F.col("seen").cast(_SEEN).alias("seen"),
                        F.col("bought").cast(_SEEN).alias("bought"), "is_long")

@@ -56,13 +56,14 @@ def session_funnel(events: DataFrame, event: str, by_span: bool = True, hot_rows
     placed = ordering.positions(chosen, ["session"], hot_rows=hot_rows)
     pairs = placed.groupBy("session", "aid").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     if not by_span:
-        pairs = pairs.join(chosen.groupBy("session").agg(F.count("*").alias("len")), "session")
+        lengths = chosen.groupBy("session").agg(F.count("*").alias("len"))
+        pairs = ordering.spread_join(pairs, lengths, ["session"], salt_by=["aid"], hot_rows=hot_rows)
     norm = span if by_span else F.col("len")
     return pairs.select("session", "aid", *[
         X.divide(F.col(c), norm).alias(f"inter_percent_aid_{event}_{c}_occ") for c in ("first", "last")])
 
 
-def time_weighted_count(events: DataFrame) -> DataFrame:
+def time_weighted_count(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Largest of (events of the pair + ts / last ts of the session), per (session, aid).
 
     The pair's count is constant, so only the pair's last time stamp is needed.
@@ -70,8 +71,9 @@ def time_weighted_count(events: DataFrame) -> DataFrame:
     limits = X.bounds(events)
     rel = events.select("session", "aid", (F.col("ts") - limits["lo"]).alias("rel"))
     pairs = rel.groupBy("session", "aid").agg(F.count("*").alias("n"), F.max("rel").alias("last"))
-    ends = pairs.groupBy("session").agg(F.max("last").alias("end"))
-    return pairs.join(ends, "session").select(
+    ends = pairs.groupBy("session").agg(F.max("last").alias("end"), F.count("*").alias("n"))
+    met = ordering.spread_join(pairs, ends.drop("n"), ["session"], salt_by=["aid"], hot_rows=hot_rows, sizes=ends)
+    return met.select(
         "session", "aid", (F.col("n") + X.divide(F.col("last"), F.col("end"))).alias("num_inter_on_aid_ts_sum"))
 
 
@@ -100,7 +102,7 @@ def percentile(df: DataFrame, keys: list[str], value: str, n: float, tie: str, h
 
     The values are ranked in slices instead of being gathered per key, so a key of any size works.
     """
-    sizes = ordering.key_sizes(df, keys, value)
+    sizes = ordering.key_sizes(df, keys)
     ranked = ordering.positions(df.select(*keys, value, tie), keys, [value, tie], "_pos", hot_rows, sizes)
     at = (F.col("n") - 1) * F.lit(n / 100.0)
     low, high = F.floor(at) + 1, F.ceil(at) + 1

@@ -79,7 +79,7 @@ def compact_ids(events: DataFrame, column: str = "aid", hot_rows: int = HOT_ROWS
         column, (F.col("_pos") - 1).alias("compact_id"))
 
 
-def event_chunks(events: DataFrame, chunk: int = 1000, hot_rows: int = HOT_ROWS) -> DataFrame:
+def event_chunks(events: DataFrame, chunk: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Ordered item and type lists of each session, in chunks of bounded length.
 
     Chunk 0 is the whole list of every session up to ``chunk`` events; longer sessions go on
@@ -95,6 +95,11 @@ def event_chunks(events: DataFrame, chunk: int = 1000, hot_rows: int = HOT_ROWS)
     )
 
 
+def event_positions(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The long form of the session lists: session, pos from 1, aid, type, one row per event whatever the length."""
+    return ordering.positions(events, ["session"], hot_rows=hot_rows).select("session", "pos", "aid", "type")
+
+
 def list_to_rows(lists: DataFrame, column: str, name: str = "aid") -> DataFrame:
     """One row per list element with its rank from 1."""
     keys = [c for c in lists.columns if c != column]

@@ -24,7 +24,7 @@ def _numbered(df: DataFrame, id_col: str, labels: list[str], seed: Column, hot_r
     """
     keys = [*also, *labels]
     hashed = df.withColumn("_h", seed)
-    sizes = ordering.key_sizes(hashed, keys, "_h")
+    sizes = ordering.key_sizes(hashed, keys)
     placed = ordering.positions(hashed, keys, ["_h", id_col], "_pos", hot_rows, sizes)
     before = W.partitionBy(*also).orderBy(*labels).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, F.col("n").alias("_size"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.operators import covisitation as cv
@@ -18,10 +15,7 @@ ANCHORS = (inputs.START, inputs.END)
 WEIGHTS = {0: 1.0, 1: 5.0, 2: 2.0}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the cluster's shared folder."""
-    tables.ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+scratch = tables.scratch_folder
 
 
 # Sources and sinks -----------------------------------------------------------
@@ -64,7 +58,7 @@ def io_ranked_lists(spark, d):
   FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS pos FROM ev) GROUP BY 1, 2"""),
        longs="session chunk", texts="aids types")
 def io_lists(spark, d):
-    return sessions.event_chunks(inputs.events(spark, d))
+    return sessions.event_chunks(inputs.events(spark, d), 1000)
 
 
 @query("io_write_read_matrix",

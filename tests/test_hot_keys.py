@@ -66,3 +66,19 @@ def test_suggestions(events, size):
     tables = {n: ca.matrix_neighbours(cv.covisitation(events, n, 10)) for n in cv.RULES}
     spec = ca.carts_spec(size, 8, 4).only(*tables)
     same(ca.suggest(events, tables, spec, hot_rows=4), ca.suggest(events, tables, spec))
+
+
+def test_a_burst_is_cut_by_rows(spark):
+    """One event early, the rest within a second: slices hold about as many rows each."""
+    rows = [(1, 5, 0, 0, 0)] + [(1, k % 7, 1_700_000_000, 0, k) for k in range(1, 10_001)]
+    events = spark.createDataFrame(rows, "session long, aid int, ts long, type int, event_id long").repartition(6)
+    _, hot, _ = ordering._parted(events, ["session"], ordering.ORDER, 100, None)
+    sizes = [r["count"] for r in hot.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 10_001 and max(sizes) <= 200
+    got = ordering.positions(events, ["session"], hot_rows=100).select("event_id", "pos").collect()
+    assert all(r["pos"] == r["event_id"] + 1 for r in got)
+
+
+def test_no_hot_key_is_a_plain_window(events):
+    plan = ordering.positions(events, ["session"])._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "Join" not in plan
