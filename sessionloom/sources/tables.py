@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -19,19 +20,21 @@ def write_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None. A write that broke off has no committed files and does not count."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    return None
+
+
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                    overwrite: bool = False) -> DataFrame:
-    """The table at ``path`` if it is there, else the built one after writing it.
-
-    A write that broke off has no committed files, so it does not count as present.
-    """
-    if not overwrite:
-        try:
-            return spark.read.parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-    return write_table(build(), path)
+    """The table at ``path`` if it is there, else the built one after writing it."""
+    found = None if overwrite else present(spark, path)
+    return write_table(build(), path) if found is None else found
 
 
 def first_sessions(df: DataFrame, n: int = 20) -> DataFrame:
@@ -68,3 +71,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut_lineage(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a written folder through the file system that holds it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class LiveState:
+    """A frame that changes step by step, written after each: the newest version stays, the one before goes."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.steps = spark, scratch_folder(spark, name), 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.steps}"
+        df.write.parquet(path)
+        if self.steps:
+            drop_folder(self.spark, f"{self.folder}/{self.steps - 1}")
+        self.steps += 1
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -70,7 +70,7 @@ def test_approximate_items_find_most_neighbours(spark):
     m = np.random.default_rng(1).normal(size=(400, 8))
     m[300:350] = m[300]
     exact = brute(m, 10, angle)
-    got = lists(em.similar_items(frame(spark, m), 10, trees=16, leaf_rows=60, hot_rows=100))
+    got = lists(em.similar_items(frame(spark, m), 10, trees=16, bins=3, hot_rows=100))
     found = [len(set(got[i]) & set(exact[i])) / 10 for i in range(400)]
     assert np.mean(found) > 0.8
     assert all(len(got[i]) == 10 for i in range(400))
@@ -197,3 +197,12 @@ def test_scores_match_the_sum_of_trees(spark, ranked_rows):
     scored = rk.score(fitted, held).join(held.select("session", "aid", "target"), ["session", "aid"])
     value = rk.mean_average_precision(scored.withColumnRenamed("pred", "score"))
     assert value == pytest.approx(max(fitted.history))
+
+
+def test_a_surely_wrong_pair_keeps_steps_small(spark):
+    from sessionloom.operators import ranker as rk
+
+    rows = [(1, 1, 1, -40.0), (1, 2, 0, 40.0), (2, 1, 1, 0.1), (2, 2, 0, 0.0), (3, 1, 1, 0.0)]
+    got = rk._newton(spark.createDataFrame(rows, "session long, aid long, target int, score double")).collect()
+    assert len(got) == 4
+    assert all(abs(r["step"]) <= 10.0 + 1e-9 and r["curvature"] >= 0.1 for r in got)
