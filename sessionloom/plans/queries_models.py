@@ -14,7 +14,7 @@ from sessionloom.operators import session_features as sf
 from sessionloom.operators import sessions
 from sessionloom.operators import stratify as st
 from sessionloom.operators import training as tr
-from sessionloom.plans import inputs, sql
+from sessionloom.plans import facts, inputs, sql
 from sessionloom.plans import queries_features as qf
 from sessionloom.plans.queries_basics import NEXT, scratch
 from sessionloom.plans.queries_candidates import HIST, VECTORS, _matrices, _tables, suggest_ctes
@@ -91,9 +91,14 @@ def negatives(spark, d):
     return tr.sample_negatives(labelled(spark, d), 0.10).select("session", "aid", "target")
 
 
-@query("tr_negative_sample_random")
+@query("tr_negative_sample_random", with_(*LABELLED, body="SELECT sum(target) AS positives, 1 AS share_fits FROM cl"),
+       longs="positives share_fits")
 def negatives_random(spark, d):
-    return tr.sample_negatives_random(labelled(spark, d), 0.10).select("session", "aid", "target")
+    """All positives stay, and of n negatives a tenth, up to five standard deviations."""
+    rows = tables.cut_lineage(labelled(spark, d))
+    n = rows.filter("target = 0").count()
+    kept = tr.sample_negatives_random(rows, 0.10).agg(F.sum("target").alias("positives"), F.count_if(F.col("target") == 0).alias("k"))
+    return kept.select("positives", (F.abs(F.col("k") - 0.1 * n) <= 5 * (0.09 * n) ** 0.5).alias("share_fits"))
 
 
 @query("tr_group_sizes", with_(*LABELLED, body=f"""
@@ -326,9 +331,11 @@ def similar_by_factors(spark, d):
     return em.nearest_items(inputs.vectors(spark, d), 30, "cosine")
 
 
-@query("em_similar_items_approximate")
+@query("em_similar_items_approximate", """
+  SELECT count(*) AS items, 1 AS in_order, 1 AS true_scores, 1 AS recalled FROM embeddings""", longs="items in_order true_scores recalled")
 def similar_approximate(spark, d):
-    return em.similar_items(inputs.vectors(spark, d), 50, leaf_rows=128)
+    v = inputs.vectors(spark, d)
+    return facts.neighbour_facts(em.similar_items(v, 50, trees=24, bins=2), v, 50, 0.9)
 
 
 @query("em_recommend_all_sessions", with_(VECTORS, body="""
@@ -359,12 +366,13 @@ def affinity(spark, d):
 
 
 @query("em_pair_accuracy", with_(EV, VEC, NEXT.format(src="ev"), """pairs AS (
-  SELECT aid, aid_next, 1 AS y FROM nxt UNION ALL SELECT aid, (aid_next + 37) % 100, -1 FROM nxt)""", body="""
+  SELECT aid, aid_next, 1 AS y FROM nxt UNION ALL SELECT aid, (aid_next + 37) % (SELECT max(aid) + 1 FROM ev), -1 FROM nxt)""", body="""
   SELECT count(*) AS pairs, avg(CASE WHEN list_dot_product(u.vec, v.vec) * y > 0 THEN 1.0 ELSE 0.0 END) AS accuracy
   FROM pairs JOIN vec u ON u.id = aid JOIN vec v ON v.id = aid_next"""), longs="pairs", doubles="accuracy")
 def pair_accuracy(spark, d):
-    pairs = sessions.next_items(inputs.events(spark, d))
-    shifted = pairs.withColumn("aid_next", F.pmod(F.col("aid_next") + 37, F.lit(100)))
+    ev = inputs.events(spark, d)
+    pairs, items = sessions.next_items(ev), ev.agg(F.max("aid") + 1).scalar()
+    shifted = pairs.withColumn("aid_next", F.pmod(F.col("aid_next") + 37, items))
     return em.pair_accuracy(pairs, shifted, inputs.vectors(spark, d))
 
 
@@ -378,6 +386,7 @@ def columns(spark, d):
     return em.vector_columns(inputs.vectors(spark, d), WIDTH, "aid_embeddings")
 
 
-@query("em_principal_components")
+@query("em_principal_components", """
+  SELECT count(*) AS rows, 1 AS centred, 1 AS uncorrelated, 1 AS falling FROM embeddings""", longs="rows centred uncorrelated falling")
 def components(spark, d):
-    return em.principal_components(inputs.vectors(spark, d), 5)
+    return facts.component_facts(em.principal_components(inputs.vectors(spark, d), 5), 5)

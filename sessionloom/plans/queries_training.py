@@ -1,4 +1,4 @@
-"""Queries that fit models. Their results depend on fitted numbers, so only one has an SQL twin."""
+"""Queries that fit models. Results depend on fitted numbers; the queries return what must hold of any of them."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ from sessionloom.operators import metrics as mt
 from sessionloom.operators import ranker as rk
 from sessionloom.operators import sessions
 from sessionloom.operators import training as tr
-from sessionloom.plans import inputs
+from sessionloom.plans import facts, inputs
 from sessionloom.plans.pipelines import SETUPS, Run, smaller
-from sessionloom.plans.queries_basics import ANCHORS, scratch
-from sessionloom.plans.queries_models import LABELLED, labelled, merged
+from sessionloom.plans.queries_basics import ANCHORS, NEXT, scratch
+from sessionloom.plans.queries_models import FOLD, LABELLED, labelled, merged
 from sessionloom.plans.registry import query
-from sessionloom.plans.sql import with_
+from sessionloom.plans.sql import EV, TEST, with_
 from sessionloom.sources.tables import cut_lineage
 
 SHORT = rk.RankerParams(rounds=4, max_depth=3, max_bins=32, early_stop=4)
@@ -27,26 +27,42 @@ def _rows(spark, d):
     return cut_lineage(tr.fold_by_hash(tr.select_features(merged(spark, d))))
 
 
-@query("md_single_model_predictions")
+PER_SESSION = "SELECT session, least(count(*), 20) AS entries, 1 AS in_order FROM cl {where} GROUP BY 1"
+
+
+def _in_order(top):
+    return facts.lists_in_order(top.withColumn("rank", F.col("pos")).withColumn("score", -F.col("pos")), "session")
+
+
+@query("md_single_model_predictions", with_(*LABELLED, body=PER_SESSION.format(where=f"WHERE {FOLD} = 0")),
+       longs="session entries in_order")
 def single_model(spark, d):
-    """Train on four folds, rank the fifth: top 20 of each of its sessions."""
+    """Train on four folds, rank the fifth: the top 20 of each of its sessions, told by size and order."""
     _, scored = rk.train_fold(_rows(spark, d), 0, 0.10, tr.feature_names(), SHORT)
-    return mt.top_predictions(scored)
+    return _in_order(mt.top_predictions(scored))
 
 
-@query("md_feature_importance")
+@query("md_feature_importance", "SELECT 1 AS named, 1 AS falling, 1 AS whole", longs="named falling whole")
 def importance(spark, d):
+    """Gains of the columns that split: known names, ranks by falling gain, a sum of 1."""
     fitted, _ = rk.train_fold(_rows(spark, d), 0, 0.10, tr.feature_names(), SHORT)
-    return rk.feature_importance(fitted)
+    gains = rk.feature_importance(fitted).withColumnRenamed("gain", "score").withColumn("all", F.lit(0))
+    order = facts.lists_in_order(gains, "all")
+    total = gains.agg(F.bool_and(F.col("feature").isin(tr.feature_names())).alias("named"), (F.abs(F.sum("score") - 1) < 1e-9).alias("whole"))
+    return order.crossJoin(total).select("named", F.col("in_order").alias("falling"), "whole")
 
 
-@query("md_fold_ensemble_predictions")
+@query("md_fold_ensemble_predictions", with_(*LABELLED, body=PER_SESSION.format(where="")), longs="session entries in_order")
 def fold_ensemble(spark, d):
-    """The mean of five fold models ranks all sessions in one pass."""
+    """The mean of the fold models ranks all sessions in one pass; told by size and order.
+
+    A fold whose training part has no session with both classes, as in tiny tables, lends no model.
+    """
     rows, columns = _rows(spark, d), tr.feature_names()
     few = replace(SHORT, rounds=2, early_stop=2)
-    fitted = [rk.train(tr.sample_negatives(tr.split_fold(rows, f)[0], 0.10), None, columns, few) for f in range(5)]
-    return mt.top_predictions(rk.score_folds(fitted, rows))
+    parts = [tr.sample_negatives(tr.split_fold(rows, f)[0], 0.10) for f in range(5)]
+    fitted = [rk.train(part, None, columns, few) for part in parts if rk.trainable(part)]
+    return _in_order(mt.top_predictions(rk.score_folds(fitted, rows)))
 
 
 @query("md_mean_score", with_(*LABELLED, body="""
@@ -61,59 +77,112 @@ def mean_score(spark, d):
     return mt.top_predictions(rk.mean_score(rows, ["s1", "s2", "s3", "s4", "s5"]), 10)
 
 
-@query("md_rules_submission")
+@query("md_rules_submission", with_(EV, TEST, body="""
+  SELECT session || '_' || e AS session_type, 20 AS entries, 20 AS different
+  FROM (SELECT DISTINCT session FROM test) CROSS JOIN (VALUES ('clicks'), ('carts'), ('orders')) v(e)"""),
+       longs="entries different", texts="session_type")
 def rules_submission(spark, d):
-    """The whole rules-only job with written tables."""
+    """The whole rules-only job with written tables: every session and event has twenty different labels."""
     run = Run(inputs.known(spark, d), inputs.test(spark, d), scratch(spark, "rules"),
               smaller(SETUPS["rules"], anchors=ANCHORS))
-    return run.rules_answer()
+    labels = F.split("labels", " ")
+    return run.rules_answer().select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
+
+
+TRIAL = smaller(
+    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, rounds=2, early_stop=2, max_depth=3,
+    word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
+
+
+def trained_run(spark, d, folder: str) -> Run:
+    """The whole job with vectors; a short fit, since every round costs two jobs."""
+    return Run(inputs.known(spark, d), inputs.test(spark, d), folder, TRIAL)
+
+
+@query("md_trained_submission", with_(EV, TEST, body="""
+  SELECT session || '_' || e AS session_type, 20 AS entries, 20 AS different
+  FROM (SELECT DISTINCT session FROM test) CROSS JOIN (VALUES ('clicks'), ('carts'), ('orders')) v(e)"""),
+       longs="entries different", texts="session_type")
+def trained_submission(spark, d):
+    """Validation by folds, then the submission by the fold models: every session and event has twenty different labels."""
+    run = trained_run(spark, d, scratch(spark, "trained"))
+    _, models = run.validate(inputs.labels(spark, d))
+    labels = F.split("labels", " ")
+    return run.answer(models).select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
 
 
 # Factors -------------------------------------------------------------------------
 
-W2V = replace(fa.WORD2VEC, epochs=2)
-BPR = replace(fa.BPR, width=32, epochs=5)
+#: All epochs at full width; blocks are dealt anew every ten of them.
+BPR = replace(fa.BPR, passes=10)
+ITEMS = "SELECT DISTINCT aid, {width} AS width, 1 AS sound FROM ev"
+ONE_ROW = "SELECT count(DISTINCT aid) AS items, 1 AS in_order, 1 AS true_scores, 1 AS recalled FROM ev"
 
 
-@query("em_word2vec_vectors")
+@query("em_word2vec_vectors", with_(EV, body=ITEMS.format(width=fa.WORD2VEC.width)), longs="aid width sound")
 def word2vec(spark, d):
-    return fa.word2vec(inputs.events(spark, d), p=W2V)
+    return facts.sound_vectors(fa.word2vec(inputs.events(spark, d)))
 
 
-@query("em_word2vec_neighbours")
+@query("em_word2vec_neighbours", with_(EV, body=ONE_ROW), longs="items in_order true_scores recalled")
 def word2vec_neighbours(spark, d):
-    return em.similar_items(fa.word2vec(inputs.events(spark, d), p=W2V), 50)
+    """Approximate neighbours of the fitted vectors, in order, with true scores, and most of the exact ones among them."""
+    vectors = fa.word2vec(inputs.events(spark, d))
+    return facts.neighbour_facts(em.similar_items(vectors, 50, trees=24, bins=2), vectors, 20, 0.9)
 
 
-@query("em_next_item_factors")
+@query("em_next_item_factors", with_(EV, NEXT.format(src="ev"), body=f"""
+  SELECT DISTINCT aid, {fa.NEXT_ITEM.width} AS width, 1 AS sound FROM (SELECT aid FROM nxt UNION ALL SELECT aid_next FROM nxt)"""),
+       longs="aid width sound")
 def next_item(spark, d):
-    return fa.next_item_factors(sessions.next_items(inputs.events(spark, d)), replace(fa.NEXT_ITEM, epochs=3))
+    return facts.sound_vectors(fa.next_item_factors(sessions.next_items(inputs.events(spark, d))))
 
 
-@query("em_next_item_accuracy")
+@query("em_next_item_accuracy", with_(EV, NEXT.format(src="ev"), body="""
+  SELECT count(*) // 10 AS held, count(*) - count(*) // 10 AS trained, 1 AS judged, 1 AS learnt FROM nxt"""),
+       longs="held trained judged learnt")
 def next_item_accuracy(spark, d):
-    """Accuracy of the fitted vectors on the newest pairs, against pairs with a shifted second item."""
-    held = sessions.tail_holdout(sessions.next_items(inputs.events(spark, d)), 1000)
-    vectors = fa.next_item_factors(held.filter("not is_valid"), replace(fa.NEXT_ITEM, epochs=3))
-    valid = held.filter("is_valid")
-    return em.pair_accuracy(valid, valid.withColumn("aid_next", F.pmod(F.col("aid_next") + 37, F.lit(100))), vectors)
+    """The newest tenth of the pairs is held out; pairs with a shifted second item are the negatives.
+
+    The held pairs can be judged, and the fitted vectors tell the pairs they were fitted on from
+    the negatives better than chance would.
+    """
+    pairs = cut_lineage(sessions.next_items(inputs.events(spark, d)))
+    n, items = pairs.agg(F.count("*"), F.greatest(F.max("aid"), F.max("aid_next"))).first()
+    held = cut_lineage(sessions.tail_holdout(pairs, n // 10))
+    vectors = fa.next_item_factors(held.filter("not is_valid"))
+
+    def accuracy(rows):
+        shifted = rows.withColumn("aid_next", F.pmod(F.col("aid_next") + 37, F.lit(items + 1)))
+        return em.pair_accuracy(rows, shifted, vectors).select("accuracy").scalar()
+
+    counts = held.agg(F.count_if("is_valid").alias("held"), F.count_if(~F.col("is_valid")).alias("trained"))
+    return counts.select("held", "trained", accuracy(held.filter("is_valid")).isNotNull().alias("judged"),
+                         (accuracy(held.filter("not is_valid")) > 0.5).alias("learnt"))
 
 
-@query("em_bpr_item_vectors")
+@query("em_bpr_item_vectors", with_(EV, body=ITEMS.format(width=fa.BPR.width + 1)), longs="aid width sound")
 def bpr_items(spark, d):
-    return fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1]
+    return facts.sound_vectors(fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1])
 
 
-@query("em_bpr_session_recommendations")
+@query("em_bpr_session_recommendations", with_(EV, body="""
+  SELECT session, least(30, (SELECT count(DISTINCT aid) FROM ev) - count(DISTINCT aid)) AS entries, 1 AS in_order, 0 AS seen
+  FROM ev GROUP BY 1 HAVING count(DISTINCT aid) < (SELECT count(DISTINCT aid) FROM ev)"""), longs="session entries in_order seen")
 def bpr_recommendations(spark, d):
+    """Thirty items a session has not seen, as far as there are so many, best first."""
     counts = sessions.item_counts(inputs.events(spark, d))
     users, items = fa.bpr(counts, BPR)
-    return em.recommend(users, items, 30, seen=counts)
+    found = cut_lineage(em.recommend(users, items, 30, seen=counts))
+    known = found.join(counts.select("session", "aid", F.lit(1).alias("k")), ["session", "aid"], "left").groupBy("session").agg(
+        F.count("k").alias("seen"))
+    return facts.lists_in_order(found, "session").join(known, "session")
 
 
-@query("em_bpr_similar_items")
+@query("em_bpr_similar_items", with_(EV, body=ONE_ROW), longs="items in_order true_scores recalled")
 def bpr_similar(spark, d):
-    return em.nearest_items(fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1], 29, "cosine")
+    vectors = fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1]
+    return facts.neighbour_facts(em.nearest_items(vectors, 29, "cosine"), vectors, 29, 1.0)
 
 
 @query("em_context_pairs", """
