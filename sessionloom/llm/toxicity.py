@@ -57,7 +57,7 @@ class _Scores(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = score = self.model.token(word)
         return score

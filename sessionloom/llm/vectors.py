@@ -179,10 +179,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, block_rows: int = 8
     numbers, partners = {}, {}
     for c in sorted(blocks):
         numbers[c] = sum(blocks[x] for x in blocks if x < c)
-    for c in blocks:  # a few pivots: block numbers of all cells that a cell may link with
-        partners[c] = [numbers[x] + k for x in sorted(blocks) if apart[c, x] <= radius[c] + radius[x] + reach + 1e-6 for k in range(blocks[x])]
+    for c in blocks:  # a few pivots: the stretches of block numbers of all cells that a cell may link with
+        partners[c] = [(numbers[x], numbers[x] + blocks[x] - 1) for x in sorted(blocks) if apart[c, x] <= radius[c] + radius[x] + reach + 1e-6]
     own = F.element_at(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv]), F.col("cell")) + F.col("salt")
-    met = F.element_at(F.create_map(*[x for c, p in partners.items() for x in (F.lit(c), F.array(*[F.lit(k) for k in p]))]), F.col("cell"))
+    met = F.flatten(F.element_at(F.create_map(*[x for c, p in partners.items() for x in (
+        F.lit(c), F.array(*[F.sequence(F.lit(a), F.lit(b)) for a, b in p]))]), F.col("cell")))
     pairs = packed.withColumn("own", own).select("own", "block", F.explode(met).alias("other")).select(
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "block")
 
@@ -271,10 +272,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, block_rows: int = 819
     shares = max(1, math.ceil(n / query_rows))
     dealt = asked.withColumn("cell", F.lit(0)).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(shares)).cast("int"))
     groups = _packed(dealt, width, None)
-    every = [(c, s) for c, m in blocks.items() for s in range(m)]
     # The query set against all rows, block by block.
-    left = groups.select(F.col("salt").alias("q"), F.col("block").alias("queries"), F.explode(F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(s).alias("salt")) for c, s in every])).alias("b")).select(
-        "q", "queries", "b.cell", "b.salt")
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.sequence(F.lit(0), F.lit(m - 1)).alias("salts")) for c, m in blocks.items()])
+    left = groups.select(F.col("block").alias("queries"), F.explode(cells).alias("c")).select(
+        "queries", "c.cell", F.explode("c.salts").alias("salt"))
 
     def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
