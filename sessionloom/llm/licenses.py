@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from sessionloom.llm.common import text_or_empty
 
 WORDS = 5
+#: Templates are written in ASCII.
+ASCII_WORD = r"[A-Za-z0-9]+"
 BANDS = 96
 #: Public license notices. Templates are a parameter; these are the default.
 TEMPLATES = (

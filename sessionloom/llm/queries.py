@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,16 +146,72 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-@query("op3_embedding_near_duplicates")
+VECTORS_SQL = """
+v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+)"""
+LINKS_SQL = f"""
+WITH RECURSIVE {VECTORS_SQL}, u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE list_dot_product(e, e) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9
+), reach AS (
+  SELECT x AS vec_id, x AS other FROM (SELECT DISTINCT x FROM links)
+  UNION SELECT r.vec_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id,
+  coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+TOP_SQL = f"""
+WITH {VECTORS_SQL}, w AS (SELECT vec_id, list_transform(e, lambda x: floor(x * 256)) AS e FROM v)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM (
+  SELECT q.vec_id AS query_id, w.vec_id, list_dot_product(q.e, w.e) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, w.e) DESC, w.vec_id) AS rank
+  FROM w q JOIN w ON q.vec_id <> w.vec_id WHERE q.vec_id % 50 = 0)
+WHERE rank <= 5
+"""
+
+
+def _license_sql() -> str:
+    """Windows of a template's own size begin at every half size; each is told by the template's shingles in it."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def fives(words: str) -> str:
+        return f"list_transform(range(1, len({words}) - 3), lambda i: array_to_string(list_slice({words}, i, i + 4), ' '))"
+
+    values = ", ".join(f"({quoted(n)}, {quoted(t)}, {licenses._window(len(re.findall(licenses.ASCII_WORD, t)))})" for n, t in licenses.TEMPLATES)
+    return rf"""
+WITH t AS (
+  SELECT license, size, {fives('w')} AS g FROM (
+    SELECT license, size, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {values}) x(license, text, size))
+), tg AS (SELECT DISTINCT license, size, len(list_distinct(g)) AS n, unnest(g) AS five FROM t),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest({fives('w')}) AS five, unnest(range(0, greatest(len(w) - 4, 0))) AS pos FROM d),
+hit AS (SELECT DISTINCT doc_id, license, size, n, five, pos FROM dg JOIN tg USING (five)),
+inside AS (
+  SELECT doc_id, license, n, five,
+    unnest(range(greatest(CAST(ceil((pos - (size - 5)) / (size // 2)) AS BIGINT), 0), pos // (size // 2) + 1)) AS win FROM hit
+), share AS (SELECT doc_id, license, win, count(DISTINCT five) / any_value(n) AS share FROM inside GROUP BY 1, 2, 3)
+SELECT doc_id, license, max(share) AS containment, count(*) AS windows FROM share WHERE share >= 0.8 GROUP BY 1, 2
+"""
+
+
+@query("op3_embedding_near_duplicates", LINKS_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-@query("op4_top_k_search")
+@query("op4_top_k_search", TOP_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", _license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
