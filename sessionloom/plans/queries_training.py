@@ -90,7 +90,7 @@ def rules_submission(spark, d):
 
 
 TRIAL = smaller(
-    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, rounds=2, early_stop=2, max_depth=3,
+    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, bins=2, rounds=2, early_stop=2, max_depth=3,
     word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
 
 
