@@ -40,8 +40,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and place; a document taken twice is packed twice."""
-    return packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"))
+    """Pieces of token ids with their sequence and place; a document taken twice is packed twice.
+
+    Workers outlive a stage, so fewer words are remembered than where packing runs by itself.
+    """
+    return packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json"), room=250_000)
 
 
 STAGES = [

@@ -17,16 +17,17 @@ from sessionloom.sources.tables import cut_lineage
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096, keep_ids: bool = False, room: int = 1_000_000) -> DataFrame:
     """One row per piece of a document's token ids (with the end id): PIECES.
 
     A null text counts as empty, so every document has a piece. A document longer than
     ``width`` is cut every ``width`` ids. ``ids`` (little-endian uint32) only if asked for.
     Null document ids are kept, repeated rows give repeated pieces, other columns are ignored.
+    ``room`` bounds the words a worker remembers between its tasks; a million take some 240 MB.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = per_worker(("codec", tokenizer, False), lambda: WordCodec(tokenizer, byte_level=False))
+        codec = per_worker(("codec", tokenizer, False, room), lambda: WordCodec(tokenizer, byte_level=False, room=room))
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
@@ -143,8 +144,8 @@ def pack(pieces_: DataFrame, width: int = 4096, group_tokens: int = 1 << 24, ste
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096,
-                   keep_ids: bool = False) -> DataFrame:
+                   keep_ids: bool = False, room: int = 1_000_000) -> DataFrame:
     """Tokenised documents packed into sequences: doc_id, piece, start, length, ids_crc32,
-    sequence_id, offset (and ids). An empty table gives an empty result."""
-    cut = pieces(docs, tokenizer, end_id, width, keep_ids)
+    sequence_id, offset (and ids). An empty table gives an empty result. ``room``: see pieces."""
+    cut = pieces(docs, tokenizer, end_id, width, keep_ids, room)
     return pack(cut_lineage(cut if keep_ids else cut.drop("ids")), width)
