@@ -335,7 +335,7 @@ def similar_by_factors(spark, d):
   SELECT count(*) AS items, 1 AS in_order, 1 AS true_scores, 1 AS recalled FROM embeddings""", longs="items in_order true_scores recalled")
 def similar_approximate(spark, d):
     v = inputs.vectors(spark, d)
-    return facts.neighbour_facts(em.similar_items(v, 50, trees=24, bins=2), v, 50, 0.9)
+    return facts.neighbour_facts(em.similar_items(v, 50), v, 50, 0.9)
 
 
 @query("em_recommend_all_sessions", with_(VECTORS, body="""

@@ -90,7 +90,7 @@ def rules_submission(spark, d):
 
 
 TRIAL = smaller(
-    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, bins=2, rounds=2, early_stop=2, max_depth=3,
+    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, rounds=2, early_stop=2, max_depth=3,
     word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
 
 
@@ -128,7 +128,7 @@ def word2vec(spark, d):
 def word2vec_neighbours(spark, d):
     """Approximate neighbours of the fitted vectors, in order, with true scores, and most of the exact ones among them."""
     vectors = fa.word2vec(inputs.events(spark, d))
-    return facts.neighbour_facts(em.similar_items(vectors, 50, trees=24, bins=2), vectors, 20, 0.9)
+    return facts.neighbour_facts(em.similar_items(vectors, 50), vectors, 50, 0.9)
 
 
 @query("em_next_item_factors", with_(EV, NEXT.format(src="ev"), body=f"""

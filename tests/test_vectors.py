@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import embeddings as em
 from sessionloom.operators import factors as fa
 from sessionloom.operators import ranker as rk
+from sessionloom.plans.pipelines import SETUPS
 
 
 def frame(spark, m, ids=None):
@@ -77,6 +78,30 @@ def test_approximate_items_find_most_neighbours(spark):
     assert got[349] == exact[349]
 
 
+def test_the_shipped_forest_finds_most_neighbours(spark):
+    """The parameters of the end-to-end job, with leaves of an eighth of the items."""
+    setup = SETUPS["0val"]
+    m = np.random.default_rng(4).normal(size=(8_200, 32))
+    got = em.similar_items(frame(spark, m), 20, setup.trees, setup.leaf).cache()
+    assert got.groupBy("aid").count().filter("count = 20").count() == len(m)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    some = list(range(0, len(m), 100))
+    mine = lists(got.filter(F.col("aid") % 100 == 0))
+    recall = [len(set(mine[i]) & set(np.argsort(-(unit @ unit[i]))[1:21].tolist())) / 20 for i in some]
+    assert np.mean(recall) > 0.9
+
+
+def test_lone_items_and_large_leaves_lose_nothing(spark):
+    """Leaves too small for k items are widened to all, and leaves beyond a block are met block by block."""
+    m = np.random.default_rng(6).normal(size=(300, 6))
+    exact = brute(m, 10, angle)
+    tiny = lists(em.similar_items(frame(spark, m), 10, trees=1, bins=16))
+    assert all(len(tiny[i]) == 10 for i in range(300))
+    assert lists(em.similar_items(frame(spark, m), 10, trees=1, bins=1, block_rows=64)) == exact
+    with pytest.raises(ValueError):
+        em.similar_items(frame(spark, m), 10, leaf=10)
+
+
 def test_affinity_is_the_dot_product(spark):
     u, v = frame(spark, [[1.0, 2.0]]), frame(spark, [[3.0, 4.0], [5.0, -1.0]])
     pairs = spark.createDataFrame([(0, 0), (0, 1), (7, 1)], "session long, aid long")
