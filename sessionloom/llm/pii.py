@@ -5,19 +5,20 @@ pointwise mutual information, of at most the information content of e:
 
     PMI(t; e) = ln(N n(t, e) / (n(t) n(e))),   IC(e) = ln(N / n(e)),   PMI / IC = 1 + ln(n(t, e) / n(t)) / IC(e)
 
-with counts over all documents; n(t, e) counts those in which t stands near e. A term that
-reaches the threshold in enough different contexts is generalised (numbers to their shape) or
-removed wherever it stands near that entity.
+with counts over all documents; n(t, e) counts those that hold both. A term that reaches the
+threshold with an entity of enough different contexts is generalised (numbers to their shape) or
+removed wherever it stands, in any document.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import text_or_empty
+from sessionloom.operators import ordering
 from sessionloom.sources.tables import cut_lineage
 
 #: Kinds in order, with their patterns. Possessive repeats and the look at the
@@ -29,11 +30,13 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Rows of a side that may be broadcast.
+SMALL = 100_000
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str, offset: Column | int = 0) -> Column:
-    """Matches of a pattern with their places in code points: what lies between them is measured."""
+def located(text: Column, pattern: str, offset: Column | int = 0, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of a pattern (those that ``keep`` accepts) with their places in code points: what lies between them is measured."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.struct(F.lit(offset).cast("int").alias("at") if isinstance(offset, int) else offset.cast("int").alias("at"),
                      F.array().cast(SPAN).alias("out"))
@@ -42,7 +45,8 @@ def located(text: Column, pattern: str, offset: Column | int = 0) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["hit"])
         span = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+        grown = F.array_append(acc["out"], span)
+        return F.struct(end.alias("at"), (grown if keep is None else F.when(keep(pair["hit"]), grown).otherwise(acc["out"])).alias("out"))
 
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("hit")), lambda p: p["hit"].isNotNull())
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
@@ -93,7 +97,7 @@ def _written(kind: str, spans: Column) -> Column:
 
 
 def _contexts(found: DataFrame, words: int, reach: int) -> DataFrame:
-    """key, entity, context, and term, start, end of each term up to ``words`` terms from an entity."""
+    """key, entity, and context of each of its places: a hash of the terms up to ``words`` terms from it."""
     text = F.col("text")
 
     def entities(kind: str) -> Column:
@@ -117,24 +121,50 @@ def _contexts(found: DataFrame, words: int, reach: int) -> DataFrame:
     occurrences = found.filter(F.size(base) > 0).select(
         "key", F.explode(F.transform(every, lambda s: F.struct(s["entity"].alias("entity"), around(s).alias("terms")))).alias("o"))
     context = F.xxhash64(F.transform("o.terms", lambda t: F.lower(t["value"])))
-    return occurrences.select("key", F.col("o.entity").alias("entity"), context.alias("context"), F.explode("o.terms").alias("t")).select(
-        "key", "entity", "context", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"),
-        F.col("t.value").alias("value"))
+    return occurrences.select("key", F.col("o.entity").alias("entity"), context.alias("context")).distinct()
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, threshold: float, support: int) -> DataFrame:
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _blanked() -> Column:
+    """``text`` with spaces in place of the base spans: all other places stay."""
+    text, spans = F.col("text"), F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], acc["at"])
+        end = F.greatest(s["end"], acc["at"])
+        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start))
+        return F.struct(end.alias("at"), put.alias("out"))
+
+    blank = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+                        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(blank)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A checkpointed side, hinted for broadcast if counted to be small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, places: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the terms whose PMI reaches ``threshold`` times the entity's IC.
 
-    ``support``: different contexts in which the pair must occur, so that copies of one
-    document prove nothing. Counts are over all documents.
+    ``support``: different contexts of the entity, in documents with the term, that must be there,
+    so that copies of one document prove nothing. Counts are over all documents.
     """
-    pairs = near.groupBy("entity", "term", "key", "context").agg(F.lit(1).alias("one"))
-    pairs = pairs.groupBy("entity", "term", "context").agg(F.sum("one").alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
+    known = places.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+    held = cut_lineage(places.join(known.select("entity"), "entity", "left_semi"))
+    keys = _small(cut_lineage(held.select("key").distinct()))
+    texts = found.join(keys, "key", "left_semi").select("key", _terms(_blanked()).alias("terms")).dropDuplicates(["key"])
+    pairs = held.join(texts, "key").select("entity", "key", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.count_distinct("key").alias("n_te"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
     pairs = cut_lineage(pairs)
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
+    entities = held.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    wanted = _small(cut_lineage(pairs.select("term").distinct()))
+    words = docs.select(F.explode(_terms(text_or_empty())).alias("term"))
+    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n")).first()["n"]
     told = pairs.join(entities, "entity").join(terms, "term")
     content = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -145,14 +175,22 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, near: DataFrame, thresho
 def find(docs: DataFrame, threshold: float = 0.9, support: int = 3, words: int = 8, reach: int = 120) -> tuple[DataFrame, DataFrame]:
     """(found, added): base spans per row of ``docs`` with a key, and added term spans per key.
 
-    Rows equal in doc_id and text share a key and count as one document in co-occurrence.
+    Rows equal in doc_id and text share a key and count as one document in co-occurrence. ``words``
+    and ``reach`` say what a context is; terms are counted and added over whole documents.
     """
     found = base_spans(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    near = cut_lineage(_contexts(found, words, reach))
-    told = disclosing_terms(docs, found, near, threshold, support)
-    hits = near.join(told, ["entity", "term"]).select("key", "start", "end", "value").distinct()
-    added = hits.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "value"))).alias("term"))
-    return found, added
+    places = cut_lineage(_contexts(found, words, reach))
+    told = cut_lineage(disclosing_terms(docs, found, places, threshold, support).select("term").distinct())
+    if told.isEmpty():
+        return found, found.sparkSession.createDataFrame([], f"key long, term {SPAN}")
+    own = F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
+    each = docs.select(own.alias("key"), F.explode(_terms(text_or_empty())).alias("term"))
+    small = told.limit(SMALL + 1).count() <= SMALL
+    hits = each.join(F.broadcast(told), "term") if small else ordering.spread_join(each, told, ["term"], salt_by=["key"])
+    hits = _small(cut_lineage(hits.groupBy("key").agg(F.collect_set("term").alias("terms"))))
+    spans = located(_blanked(), TERM, keep=lambda t: F.array_contains("terms", F.lower(t)))
+    added = found.join(hits, "key").select("key", spans.alias("term")).filter(F.size("term") > 0).dropDuplicates(["key"])
+    return found, cut_lineage(added)
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -179,14 +217,15 @@ def sanitise(docs: DataFrame, columns: Sequence[str] | None = None, **options) -
     columns = list(columns or docs.columns)
     found, added = find(docs, **options)
     key = F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())
-    # Few rows have personal data: only those are joined, the rest pass without a shuffle.
     whole = docs.select(F.struct(*columns).alias("row"), "doc_id", "text").withColumn("key", key)
     text = text_or_empty()
     for kind, pattern in KINDS.items():
         whole = whole.withColumn(kind, _spans(text, kind, pattern))
-    some = F.greatest(*[F.size(k) for k in KINDS]) > 0
+    # Few rows have personal data or a disclosing term: the others pass as they are.
+    whole = whole.join(_small(added), "key", "left")
+    some = (F.greatest(*[F.size(k) for k in KINDS]) > 0) | F.col("term").isNotNull()
     rest = whole.filter(~some).select("row.*")
-    hit = whole.filter(some).join(added, "key", "left")
+    hit = whole.filter(some)
 
     def masked(kind: str) -> Column:
         return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("put")))

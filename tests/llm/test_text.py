@@ -80,6 +80,21 @@ def test_terms_that_disclose_an_entity(spark):
     assert clean[100] == rows[5][1] and clean[201] is None and len(clean) == len(rows)
 
 
+def test_terms_that_disclose_are_masked_wherever_they_stand(spark):
+    """A term far from the entity counts, and so do its places in documents without the entity."""
+    far = " ".join(["plain filling words stand here"] * 12)
+    rows = [(i, f"from{i} me@x.org note{i} by{i}x {far} signed Quillon") for i in range(8)]
+    rows += [(100, "quillon was here"), (101, "mail other@y.org about QUILLON"), (102, None)]
+    rows += [(200 + i, f"{far} and nothing in place{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert all(clean[i].endswith("signed [TERM]") or clean[i].endswith("[TERM] [TERM]") for i in range(8))
+    assert clean[100] == "[TERM] was here" and clean[101] == "mail [EMAIL] about [TERM]" and len(clean) == len(rows)
+    assert clean[200] == rows[11][1] and clean[102] is None
+    got = {r["doc_id"]: r["n_term"] for r in pii.scan(docs).collect()}
+    assert got[100] == got[101] == 1 and got[200] == 0
+
+
 def test_sanitise_keeps_rows_and_columns(odd_docs):
     got = pii.sanitise(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == odd_docs.count()
