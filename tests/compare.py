@@ -26,6 +26,9 @@ def difference(spark_pdf, duck_pdf) -> str | None:
     """None if both hold the same rows, columns and kinds of column, else what differs."""
     if sorted(spark_pdf.columns) != sorted(duck_pdf.columns):
         return f"columns {sorted(set(spark_pdf.columns) ^ set(duck_pdf.columns))}"
+    # Whole numbers among nulls: toPandas gives doubles where DuckDB has nullable integers.
+    nullable = [c for c in spark_pdf.columns if spark_pdf[c].dtype == "float64" and duck_pdf[c].dtype == "Int64" and spark_pdf[c].isna().any()]
+    spark_pdf = spark_pdf.astype(dict.fromkeys(nullable, "Int64"))
     for c in spark_pdf.columns:
         if spark_pdf[c].dtype != duck_pdf[c].dtype and len(duck_pdf):
             return f"{c}: {spark_pdf[c].dtype} against {duck_pdf[c].dtype}"
