@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import licenses, mixing, packing, pii, simhash, tokenfiles, toxicity, urlfilter, vectors
+from sessionloom.llm import collocations, hardnegatives, licenses, mixing, packing, pii, simhash, tokenfiles, toxicity, urlfilter, vectors, warc
 from sessionloom.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,92 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan", _license_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+), p AS (SELECT lang, regexp_extract_all(unnest(pieces), '[^\x20\x09]+') AS w FROM d),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM p GROUP BY lang),
+f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase
+    FROM p, (VALUES (1), (2), (3), (4), (5)) v(m) WHERE len(w) >= m) GROUP BY 1, 2, 3 HAVING count(*) >= 100
+), c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS p1, array_to_string(list_slice(w, k + 1, m), ' ') AS p2
+  FROM c, (VALUES (1), (2), (3), (4)) v(k) WHERE k < m
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.a, k, x.f AS l, y.f AS r, n, CAST(1000 AS HUGEINT) * cuts.a * n // (CAST(x.f AS HUGEINT) * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2 JOIN total ON total.lang = cuts.lang
+), best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM scored),
+around AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest(list_transform(range(1, m - s + 2), lambda i: array_to_string(list_slice(w, i, i + s - 1), ' '))) AS phrase
+    FROM c, (VALUES (2), (3), (4)) v(s) WHERE s < m) GROUP BY 1, 2
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase WHERE place = 1 AND coalesce(100 * o.a < 100 * b.a, true)
+)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def shifted(vec_id: Column, label: Column) -> Column:
+    """Where the id is divisible by 7, the label moves to the next of ten."""
+    return F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+
+
+NEGATIVES_SQL = """
+WITH w AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(x * 256)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor, w.vec_id AS other, q.label = w.label AS same, CAST(list_dot_product(q.e, w.e) AS BIGINT) AS score
+  FROM w q JOIN w ON q.vec_id <> w.vec_id WHERE q.vec_id % 100 = 0
+), p AS (
+  SELECT anchor, other AS positive, score AS top FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) AS place FROM s WHERE same) WHERE place <= 5
+), n AS (
+  SELECT p.anchor, positive, top, other, score, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 80 * top <= 100 * score AND 100 * score <= 100 * top
+)
+SELECT anchor AS anchor_id, positive AS positive_id, CAST(rank AS INT) AS rank, other AS negative_id, top AS positive_score, score AS negative_score
+FROM n WHERE rank <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.mine(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, relabel=shifted)
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS digest FROM pages
+), b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    (CAST('0x' || substr(digest, (i // 4) * 5 + 1, 5) AS BIGINT) // (CASE i % 4 WHEN 0 THEN 32768 WHEN 1 THEN 1024 WHEN 2 THEN 32 ELSE 1 END)) % 32 + 1 AS INT), 1)), '')
+    AS payload_digest, max(page_id) OVER (PARTITION BY digest, payload_bytes) AS top FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to FROM b
+"""
+
+
+@query("op13_warc", WARC_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark) + "/warc"
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_records(spark, folder)
+    return found.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest",
+                        F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
