@@ -46,57 +46,119 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096,
 def complete(count: np.ndarray, room: int, top: int, steps: int) -> list[int]:
     """Lengths that fill ``room`` best, out of the multiset ``count`` (by length, up to ``top``).
 
-    Branch and bound over fillings in falling order of length. The first descent is the
-    best-fit filling and the incumbent. A branch ends when the waste that it must leave is no
-    smaller than the incumbent's, and a filling is dominated, hence skipped, if one of its
-    lengths could be swapped for a longer one that is left and still fits. ``steps`` bounds
-    the nodes visited; the incumbent then stands.
+    The incumbent is the whole best-fit filling: of each length, in falling order, as many as fit.
+    Branch and bound then goes through other numbers of each length. A branch ends when the waste
+    that it must leave (by its smallest length, and by all that is left to put in) is no smaller
+    than the incumbent's; a filling is dominated if a length in it could be swapped for a longer
+    one that is left and fits, which then takes its place. ``steps`` bounds the branches looked
+    at after the incumbent, which stands if they run out.
     """
-    lengths = np.nonzero(count[:min(top, room) + 1])[0]
-    if not len(lengths):
+    lengths = np.nonzero(count[:min(top, room) + 1])[0][::-1].tolist()  # falling
+    if not lengths:
         return []
-    lengths = lengths[::-1].tolist()  # falling
-    smallest = lengths[-1]
-    best: list[int] = []
-    best_waste, nodes = room, 0
-    chosen: list[int] = []
-
-    def down(k: int, left: int, used_of_k: int) -> None:
-        nonlocal best, best_waste, nodes
-        nodes += 1
-        if left < best_waste:
-            best, best_waste = chosen.copy(), left
-        if best_waste == 0 or nodes > steps or left < smallest:
-            return
-        lo, hi = k, len(lengths)
-        while lo < hi:  # the longest length that still fits
+    left_over = [int(count[n]) for n in lengths]
+    after = [0]  # tokens in all lengths from a place on
+    for n, c in zip(reversed(lengths), reversed(left_over)):
+        after.append(after[-1] + n * c)
+    after.reverse()
+    smallest, best, best_waste, nodes = lengths[-1], [], room + 1, 0
+
+    def fits(left: int, lo: int) -> int:
+        """Place of the longest length from ``lo`` on that still fits."""
+        hi = len(lengths)
+        while lo < hi:
             mid = (lo + hi) // 2
-            if lengths[mid] > left:
-                lo, used_of_k = mid + 1, 0
-            else:
-                hi = mid
-        tried = 0
-        for i in range(lo, len(lengths)):
-            n = lengths[i]
-            used = used_of_k if i == k else 0
-            if used >= count[n]:
-                continue
-            # One item closes the filling if two of the smallest no longer fit: only the longest is undominated.
-            if tried and left - n < smallest and left - n >= best_waste:
-                return
-            tried += 1
-            chosen.append(n)
-            down(i, left - n, used + 1)
-            chosen.pop()
-            if best_waste == 0 or nodes > steps:
-                return
-
-    down(0, room, 0)
+            lo, hi = (mid + 1, hi) if lengths[mid] > left else (lo, mid)
+        return lo
+
+    def keep(chosen: list[tuple[int, int]], left: int) -> None:
+        nonlocal best, best_waste
+        used = dict(chosen)
+        for i in sorted(used, reverse=True):
+            j = fits(lengths[i] + left, 0)
+            while j < i and used.get(j, 0) >= left_over[j]:
+                j += 1
+            if left and j < i:  # dominated: the longer one takes the place
+                left -= lengths[j] - lengths[i]
+                used[i] -= 1
+                used[j] = used.get(j, 0) + 1
+        if left < best_waste:
+            best, best_waste = [n for i in sorted(used) for n in [lengths[i]] * used[i]], left
+
+    chosen, left, i = [], room, fits(room, 0)
+    while i < len(lengths):
+        c = min(left_over[i], left // lengths[i])
+        chosen.append((i, c))
+        left -= c * lengths[i]
+        i = fits(left, i + 1)
+    keep(chosen, left)
+
+    def down(lo: int, left: int, chosen: list[tuple[int, int]]) -> None:
+        nonlocal nodes
+        i = fits(left, lo)
+        if i == len(lengths):
+            keep(chosen, left)
+        while i < len(lengths) and best_waste and nodes < steps and left - after[i] < best_waste:
+            for c in range(min(left_over[i], left // lengths[i]), 0, -1):
+                rest = left - c * lengths[i]
+                nodes += 1
+                if rest >= smallest and i + 1 < len(lengths):
+                    down(i + 1, rest, [*chosen, (i, c)])
+                elif rest < best_waste:
+                    keep([*chosen, (i, c)], rest)
+                if not best_waste or nodes >= steps:
+                    return
+            i += 1
+
+    if best_waste:
+        down(0, room, [])
     return best
 
 
+def best_fit(lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each piece, longest first, each into the fullest sequence that holds it."""
+    free: dict[int, list[int]] = {}  # sequences by the room in them
+    rooms, n = 0, 0  # bits of the rooms that some sequence has
+    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    for item in np.argsort(-lengths, kind="stable").tolist():
+        size = int(lengths[item])
+        some = rooms >> size
+        room = size + (some & -some).bit_length() - 1 if some else width
+        if some:
+            own = free[room].pop()
+            if not free[room]:
+                rooms ^= 1 << room
+        else:
+            own, n = n, n + 1
+        sequence[item], offset[item] = own, width - room
+        if room > size:
+            free.setdefault(room - size, []).append(own)
+            rooms |= 1 << (room - size)
+    return sequence, offset
+
+
+def fewest(lengths: np.ndarray, width: int) -> int:
+    """Sequences that any packing needs: by all tokens, and by the pieces that no two of share a sequence."""
+    return max(-(-int(lengths.sum()) // width), int((lengths * 2 > width).sum()))
+
+
 def fill(lengths: np.ndarray, width: int = 4096, steps: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece: around the longest piece left, the best completion."""
+    """(sequence, offset) of each piece in as few sequences as the searches find.
+
+    Sequences are completed one by one around the longest piece left. If that takes more than ``fewest``,
+    best fit decreasing and a search eight times as wide are tried as well, and the best stays.
+    """
+    least, best = fewest(lengths, width), None
+    for search in (lambda: _completed(lengths, width, steps), lambda: best_fit(lengths, width), lambda: _completed(lengths, width, 8 * steps)):
+        found = search()
+        if best is None or found[0].max(initial=-1) < best[0].max(initial=-1):
+            best = found
+        if best[0].max(initial=-1) + 1 <= least:
+            break
+    return best
+
+
+def _completed(lengths: np.ndarray, width: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.bincount(lengths, minlength=width + 1)
     order = np.argsort(-lengths, kind="stable")
     first = np.searchsorted(-lengths[order], -np.arange(width + 2), side="left")  # where a length begins

@@ -215,6 +215,65 @@ def test_completion_beats_the_greedy_filling():
     assert len(packing.fill(np.array([], int))[0]) == 0
 
 
+def packed_whole(lengths, width=4096):
+    """Number of sequences, after a look at each: gapless, and no longer than the width."""
+    sequence, offset = packing.fill(lengths, width)
+    by = np.lexsort((offset, sequence))
+    s, o, n = sequence[by], offset[by], lengths[by]
+    opens = np.concatenate(([True], s[1:] != s[:-1]))
+    assert (o[opens] == 0).all() and (o[~opens] == (o + n)[:-1][~opens[1:]]).all() and (o + n).max() <= width
+    return int(sequence.max()) + 1
+
+
+@pytest.mark.parametrize("size,pieces", [(10, 20_000), (20, 20_000), (50, 20_000), (1, 60_000), (4096, 50), (2049, 50)])
+def test_packing_pieces_of_one_size(size, pieces):
+    assert packed_whole(np.full(pieces, size)) == math.ceil(pieces / (4096 // size))
+
+
+def test_packing_short_and_mixed_pieces():
+    rng = np.random.default_rng(0)
+    short, spread = rng.integers(5, 60, 40_000), np.minimum(4096, np.exp(rng.normal(6, 1, 10_000)).astype(int) + 1)
+    assert packed_whole(short) <= math.ceil(short.sum() / 4096) + 1
+    assert packed_whole(spread) <= math.ceil(spread.sum() / 4096) + 1
+
+
+def test_packing_long_pieces():
+    """Where pieces are longer than a quarter and nothing small is left, no search is worse than best fit."""
+    rng = np.random.default_rng(1)
+    for lengths in (rng.integers(1100, 2500, 2000), rng.integers(1, 4097, 3000), np.concatenate([rng.integers(1400, 2100, 900), rng.integers(1, 60, 100)])):
+        assert packing.fewest(lengths, 4096) <= packed_whole(lengths) <= int(packing.best_fit(lengths, 4096)[0].max()) + 1
+
+
+def test_packing_small_cases_are_optimal():
+    def needed(lengths, width):  # the least number, by trying all
+        best = len(lengths)
+
+        def put(k, rooms):
+            nonlocal best
+            if len(rooms) < best and k == len(lengths):
+                best = len(rooms)
+            if k == len(lengths) or len(rooms) >= best:
+                return
+            for r in sorted(set(rooms)):
+                if r >= lengths[k]:
+                    left = rooms.copy()
+                    left.remove(r)
+                    put(k + 1, [*left, r - lengths[k]])
+            put(k + 1, [*rooms, width - lengths[k]])
+
+        put(0, [])
+        return best
+
+    rng = np.random.default_rng(2)
+    off = 0
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 21, rng.integers(1, 10)))[::-1].copy()
+        got, least = packed_whole(lengths, 20), needed(lengths.tolist(), 20)
+        assert packing.fewest(lengths, 20) <= least <= got <= least + 1
+        off += got - least
+    assert off <= 2
+
+
 def test_token_files(spark, documents, odd_docs):
     tok = WordCodec(BYTE_FILE, True).tok
     docs = documents.select("doc_id", "text").unionByName(odd_docs.filter("doc_id > 100 or doc_id is null").select("doc_id", "text"))
