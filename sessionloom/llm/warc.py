@@ -27,7 +27,7 @@ from sessionloom.sources.tables import cut_lineage
 CHUNK_BYTES = 1 << 20
 #: Rows are handed over once they hold about so many bytes.
 _BATCH_BYTES = 4 << 20
-_KEY = ["page_id", "url", "length", "sha1", "sha256"]
+_KEY = ["own", "page_id", "url", "length", "sha1", "sha256"]
 CHUNKS = ("record_id string, type string, target_uri string, refers_to string, chunk int, start long, size long, "
           "data binary, digest string, last boolean, payload_bytes long, stated_digest string")
 
@@ -40,11 +40,13 @@ def base32_of_hex(digest: Column) -> Column:
 
 
 def _pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload bytes, their number and digests."""
+    """page_id, url, payload bytes, their number and digests, and a digest of the row of fixed size."""
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("payload"))
-    return rows.select("*", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1"),
+    told = rows.select("*", F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("sha1"),
                        F.sha2("payload", 256).alias("sha256"))
+    about = F.to_json(F.struct("page_id", "url", "sha256"))  # leaves nulls out, so they differ from any text
+    return told.withColumn("own", F.sha2(about.cast("binary"), 256))
 
 
 def _urn(page: Column, url: Column, copy: Column) -> Column:
@@ -128,13 +130,19 @@ def write_archives(pages: DataFrame, path: str, revisit_from: int = 0, chunk_byt
     again = met.filter(~is_top | (F.col("rows") > 1)).select(
         *_KEY, F.col("top.page_id").alias("top_page"), F.col("top.url").alias("top_url"), F.explode(copies).alias("copy"))
     # Of the payloads, those of revisits stay behind; rows equal to their response throughout become one.
-    behind = met.select(*[F.col(c).alias(f"_{c}") for c in _KEY], is_top.alias("_top"), F.col("rows").alias("_rows"))
-    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c in ("page_id", "url") else F.col(c) == F.col(f"_{c}") for c in _KEY]
-    large, several = rows.filter(F.col("length") >= revisit_from), F.col("_top") & (F.col("_rows") > 1)
-    alone = large.join(behind, on, "left").filter(F.col("_top").isNull() | (F.col("_top") & ~several)).select(*_KEY, "payload")
-    top = large.join(behind.filter(several), on).groupBy(*_KEY).agg(F.first("payload").alias("payload"))
+    behind = met.select("own", is_top.alias("_top"), (F.col("rows") > 1).alias("_several"))
+    count, repeats = behind.agg(F.count("*"), F.count_if(F.col("_top") & F.col("_several"))).first()
+    out = large = rows.filter(F.col("length") >= revisit_from)
+    if count:  # else payloads are neither joined nor moved
+        near = F.broadcast(behind) if count <= ordering.SMALL else behind
+        out = large.join(near, "own", "left").filter(F.col("_top").isNull() | (F.col("_top") & ~F.col("_several")))
+    out = out.select(*_KEY, "payload")
+    if repeats:
+        top = behind.filter(F.col("_top") & F.col("_several")).select("own")
+        near = F.broadcast(top) if repeats <= ordering.SMALL else top
+        out = out.unionByName(large.join(near, "own", "left_semi").groupBy(*_KEY).agg(F.first("payload").alias("payload")))
+    out = out.withColumn("copy", F.lit(0).cast("long"))
     small = rows.filter(F.col("length") < revisit_from).select(*_KEY, "payload", F.monotonically_increasing_id().alias("copy"))
-    out = alone.unionByName(top).withColumn("copy", F.lit(0).cast("long"))
     if revisit_from > 0:
         out = out.unionByName(small)
     texts = _responses(out, date, chunk_bytes).unionByName(_revisits(again, date))
