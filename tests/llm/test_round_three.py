@@ -139,16 +139,23 @@ def test_no_hard_negatives(spark):
     assert hardnegatives.mine(alone, lambda i: i % 100 == 0).count() == 0
 
 
-@pytest.mark.parametrize("scale", [1, 10**4, 10**8])
+@pytest.mark.parametrize("scale", [1, 10**4, 10**6])
 def test_packed_scores_are_exact(scale):
     rng = np.random.default_rng(3)
     rows = rng.integers(-300 * scale, 200 * scale, (600, 9))
     low, high = int(rows.min()), int(rows.max())
     packed = hardnegatives.Packed(rows, low, high)
+    assert packed.bytes == (4 if scale == 1 else 8)
     for a in rows[:5]:
         assert packed.scores(a).tolist() == [sum(int(x) * int(y) for x, y in zip(a, r)) for r in rows]
 
 
+def test_scores_beyond_64_bits_are_refused():
+    rows = np.full((3, 2), 2**40)
+    with pytest.raises(OverflowError):
+        hardnegatives.Packed(rows, 0, 2**40).scores(rows[0])
+
+
 # WARC
 
 
