@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import embeddings as em
 from sessionloom.operators import factors as fa
-from sessionloom.operators import ranker as rk
+from sessionloom.operators import neighbours as nb
 from sessionloom.plans.pipelines import SETUPS
 
 
@@ -71,7 +71,7 @@ def test_approximate_items_find_most_neighbours(spark):
     m = np.random.default_rng(1).normal(size=(400, 8))
     m[300:350] = m[300]
     exact = brute(m, 10, angle)
-    got = lists(em.similar_items(frame(spark, m), 10, trees=16, bins=3, hot_rows=100))
+    got = lists(em.similar_items(frame(spark, m), 10, trees=24, leaf=50, hot_rows=100))
     found = [len(set(got[i]) & set(exact[i])) / 10 for i in range(400)]
     assert np.mean(found) > 0.8
     assert all(len(got[i]) == 10 for i in range(400))
@@ -79,10 +79,10 @@ def test_approximate_items_find_most_neighbours(spark):
 
 
 def test_the_shipped_forest_finds_most_neighbours(spark):
-    """The parameters of the end-to-end job, with leaves of an eighth of the items."""
+    """The parameters of the end-to-end job, with leaves of an eighth of the items, grown in cells by Spark first."""
     setup = SETUPS["0val"]
     m = np.random.default_rng(4).normal(size=(8_200, 32))
-    got = em.similar_items(frame(spark, m), 20, setup.trees, setup.leaf).cache()
+    got = em.similar_items(frame(spark, m), 20, setup.trees, setup.leaf, cell_rows=3000).cache()
     assert got.groupBy("aid").count().filter("count = 20").count() == len(m)
     unit = m / np.linalg.norm(m, axis=1, keepdims=True)
     some = list(range(0, len(m), 100))
@@ -91,17 +91,97 @@ def test_the_shipped_forest_finds_most_neighbours(spark):
     assert np.mean(recall) > 0.9
 
 
-def test_lone_items_and_large_leaves_lose_nothing(spark):
-    """Leaves too small for k items are widened to all, and leaves beyond a block are met block by block."""
-    m = np.random.default_rng(6).normal(size=(300, 6))
-    exact = brute(m, 10, angle)
-    tiny = lists(em.similar_items(frame(spark, m), 10, trees=1, bins=16))
-    assert all(len(tiny[i]) == 10 for i in range(300))
-    assert lists(em.similar_items(frame(spark, m), 10, trees=1, bins=1, block_rows=64)) == exact
+@pytest.mark.parametrize("cell_rows", [10**6, 120, 20])
+def test_forests_are_grown_at_every_size(spark, cell_rows):
+    """Leaves hold their share, every item has mates enough, and cells are cut by Spark until a task can take them."""
+    m = np.random.default_rng(6).normal(size=(500, 6))
+    met = nb.forest(frame(spark, m), 10, 4, 30, cell_rows=cell_rows).collect()
+    assert len(met) == 4 * 500
+    leaves = {}
+    for r in met:
+        leaves.setdefault((r["tree"], r["cell"], r["leaf"]), []).append(r["id"])
+        assert len(r["near"]) == 10 and r["id"] not in [n["neighbor"] for n in r["near"]]
+    assert all(11 <= len(x) <= 30 + 10 * (cell_rows < 100) for x in leaves.values())
+    assert len(leaves) >= 4 * 17
+    cells = nb.cells(frame(spark, m), 4, cell_rows).collect()
+    sizes = {}
+    for r in cells:
+        sizes.setdefault((r["tree"], r["cell"]), []).append(r["id"])
+    assert max(map(len, sizes.values())) <= cell_rows and len(cells) == 2000
     with pytest.raises(ValueError):
         em.similar_items(frame(spark, m), 10, leaf=10)
 
 
+def test_cells_of_hostile_vectors(spark):
+    """One-hot vectors, a long line, and a few far points still fall apart into cells."""
+    rows = list(np.eye(60)) + [np.r_[i, np.zeros(59)] for i in range(2, 200)] + [np.full(60, 1e6), np.full(60, -1e6)]
+    got = nb.cells(frame(spark, np.array(rows)), 2, 16).groupBy("tree", "cell").count().collect()
+    assert max(r["count"] for r in got) <= 16 and sum(r["count"] for r in got) == 2 * len(rows)
+
+
+def test_few_items(spark):
+    for n in (0, 1, 3):
+        m = np.random.default_rng(n).normal(size=(n, 4))
+        some = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+        for got in (em.similar_items(some, 2, trees=2, leaf=5), em.nearest_items(some, 2), em.nearest_items(some, 2, "cosine")):
+            assert sorted(r["aid"] for r in got.collect()) == sorted(i for i in range(n) for _ in range(min(2, n - 1)))
+        assert em.recommend(some, some, 2).count() == n * min(n, 2)
+
+
+def grouped(n=1200, seed=2):
+    """Twelve tight groups far from each other."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 8)) * 20
+    return centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 8)) * 0.1
+
+
+def blocks_met(met):
+    return {(r["q"], r["c"]) for r in met.filter("c is not null").select("q", "c").collect()}
+
+
+@pytest.mark.parametrize("metric,cost", [("euclidean", euclid), ("cosine", angle)])
+def test_far_blocks_are_not_met(spark, metric, cost):
+    m = grouped()
+    points = frame(spark, m)
+    found, met = nb._neighbours(points, 6, metric, 64)
+    blocks = met.select("q").distinct().count()
+    later = blocks_met(met)
+    assert blocks >= 12 and len(later) + nb.FIRST_BLOCKS * blocks < blocks * blocks / 2
+    some = range(0, len(m), 40)
+    got = lists(em.nearest_items(points, 6, metric, block_rows=64))
+    for i in some:
+        order = sorted((round(cost(m[i], m[j]), 12), j) for j in range(len(m)) if j != i)
+        assert got[i] == [j for _, j in order[:6]]
+
+
+def test_blocks_of_small_norm_are_not_met(spark):
+    """Items of falling norm: exact lists, from fewer blocks than there are; seen items stay out."""
+    rng = np.random.default_rng(9)
+    users, items = rng.normal(size=(70, 6)), rng.normal(size=(900, 6)) * (np.arange(900, 0, -1)[:, None] / 100) ** 3
+    seen = [(u, int(i)) for u in range(70) for i in rng.choice(300, 40, replace=False)]
+    bars = spark.createDataFrame(seen, "id long, bar long")
+    found, met = nb._recommended(frame(spark, users), frame(spark, items), 5, bars, 32)
+    blocks = met.select("q").distinct().count()
+    assert len(blocks_met(met)) + nb.FIRST_BLOCKS * blocks < blocks * -(-900 // 32) * 0.7
+    got = {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    for u in range(70):
+        order = sorted((round(-float((users[u] * items[i]).sum()), 12), i) for i in range(900) if (u, i) not in seen)
+        assert got[u] == [i for _, i in order[:5]]
+
+
+def test_pruned_search_equals_all_pairs_of_blocks(spark):
+    m = np.random.default_rng(12).normal(size=(300, 5))
+    m[7] = 0
+    points = frame(spark, m)
+    itself = points.select("id", F.col("id").alias("bar"))
+    for metric in ("euclidean", "cosine"):
+        whole = {(r["id"], r["neighbor"], r["rank"]) for r in em.block_search(points, points, 5, metric, itself, 32).collect()}
+        some, _ = nb._neighbours(points, 5, metric, 32)
+        assert {(r["id"], r["neighbor"], r["rank"]) for r in some.collect()} == whole
+
+
 def test_affinity_is_the_dot_product(spark):
     u, v = frame(spark, [[1.0, 2.0]]), frame(spark, [[3.0, 4.0], [5.0, -1.0]])
     pairs = spark.createDataFrame([(0, 0), (0, 1), (7, 1)], "session long, aid long")
@@ -186,48 +266,3 @@ def test_word2vec_groups_items_met_together(spark):
     vectors = fa.word2vec(events, p=replace(fa.WORD2VEC, width=8, epochs=8, blocks=2))
     got = lists(em.nearest_items(vectors, 5, "cosine"))
     assert np.mean([(j >= 8) == (i >= 8) for i, near in got.items() for j in near]) > 0.9
-
-
-@pytest.fixture(scope="module")
-def ranked_rows(spark):
-    rng = np.random.default_rng(8)
-    rows = []
-    for s in range(60):
-        for a in range(10):
-            x, y, z = rng.normal(size=3)
-            rows.append((s, a, int(a < 3), float(x + 1.5 * (a < 3)), float(y), float(z)))
-    df = spark.createDataFrame(rows, "session long, aid long, target int, x double, y double, z double")
-    return df.filter("session < 45"), df.filter("session >= 45")
-
-
-def test_ranker_learns_and_stops(spark, ranked_rows, tmp_path):
-    train, held = ranked_rows
-    params = rk.RankerParams(rounds=12, max_depth=2, max_bins=16, early_stop=12, colsample=1.0)
-    fitted = rk.train(train, held, ["x", "y", "z"], params)
-    assert max(fitted.history) > 0.75
-    assert fitted.model.getNumTrees == int(np.argmax(fitted.history)) + 1
-    assert rk.feature_importance(fitted).first()["feature"] == "x"
-    fitted.save(str(tmp_path / "model"))
-    again = rk.load(str(tmp_path / "model"), fitted.columns)
-    one = {(r.session, r.aid): r.pred for r in rk.score(fitted, held).collect()}
-    two = {(r.session, r.aid): r.pred for r in rk.score_folds([fitted, again], held).collect()}
-    assert len(one) == held.count() and one == pytest.approx(two)
-
-
-def test_scores_match_the_sum_of_trees(spark, ranked_rows):
-    """The evaluation value of the last round is that of the returned ensemble."""
-    train, held = ranked_rows
-    params = rk.RankerParams(rounds=3, max_depth=2, max_bins=16, early_stop=99, colsample=0.7)
-    fitted = rk.train(train, held, ["x", "y", "z"], params)
-    scored = rk.score(fitted, held).join(held.select("session", "aid", "target"), ["session", "aid"])
-    value = rk.mean_average_precision(scored.withColumnRenamed("pred", "score"))
-    assert value == pytest.approx(max(fitted.history))
-
-
-def test_a_surely_wrong_pair_keeps_steps_small(spark):
-    from sessionloom.operators import ranker as rk
-
-    rows = [(1, 1, 1, -40.0), (1, 2, 0, 40.0), (2, 1, 1, 0.1), (2, 2, 0, 0.0), (3, 1, 1, 0.0)]
-    got = rk._newton(spark.createDataFrame(rows, "session long, aid long, target int, score double")).collect()
-    assert len(got) == 4
-    assert all(abs(r["step"]) <= 10.0 + 1e-9 and r["curvature"] >= 0.1 for r in got)
