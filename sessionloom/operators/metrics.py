@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from sessionloom.constants import RECALL_WEIGHTS, TOP_PREDICTIONS
 
 
-def top_predictions(scored: DataFrame, k: int = TOP_PREDICTIONS, score: str = "pred") -> DataFrame:
-    """The k best items of each session, with their rank; ties go to the smaller item."""
+def top_predictions(scored: DataFrame, k: int = TOP_PREDICTIONS, score: str = "pred", with_score: bool = False) -> DataFrame:
+    """The k best items of each session, with their rank (and score, if asked for); ties go to the smaller item."""
     best = W.partitionBy("session").orderBy(F.col(score).desc(), F.col("aid"))
     return scored.withColumn("pos", F.row_number().over(best)).filter(F.col("pos") <= k).select(
-        "session", "aid", "pos")
+        "session", "aid", "pos", *([score] if with_score else []))
 
 
 def prediction_lists(top: DataFrame) -> DataFrame:

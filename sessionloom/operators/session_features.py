@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sessionloom.constants import EVENT_TYPES, HOT_ROWS
@@ -10,6 +11,7 @@ from sessionloom.functions import expressions as X
 from sessionloom.operators import ordering
 from sessionloom.operators.item_features import (
     common_columns, first_gap_zero, merge_sums, pair_gaps, per_pair_sums, time_columns)
+from sessionloom.sources.tables import cut_lineage
 
 
 def session_basic(events: DataFrame) -> DataFrame:
@@ -97,17 +99,34 @@ def session_clock(events: DataFrame, absolute: bool = False, hot_rows: int = HOT
     return ordering.spread_join(rows, per_session, ["session"], salt_by=["event_id"], hot_rows=hot_rows)
 
 
-def percentile(df: DataFrame, keys: list[str], value: str, n: float, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact n-th percentile per key with linear interpolation, as ``percentile_n``.
+def percentile(df: DataFrame, keys: list[str], value: str, n: float, bins: int = 256, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact n-th percentile per key with linear interpolation, as ``percentile_n``; nulls do not count.
 
-    The values are ranked in slices instead of being gathered per key, so a key of any size works.
+    No row is ever ordered: the values between the bounds of a wanted rank are counted in ``bins`` equal
+    stretches, and the stretch that holds the rank, cut to its least and largest value, gives the next
+    bounds, until they are one value. A key's two ranks are sought side by side.
     """
-    sizes = ordering.key_sizes(df, keys)
-    ranked = ordering.positions(df.select(*keys, value, tie), keys, [value, tie], "_pos", hot_rows, sizes)
-    at = (F.col("n") - 1) * F.lit(n / 100.0)
-    low, high = F.floor(at) + 1, F.ceil(at) + 1
-    near = ordering.spread_join(ranked, sizes, keys, salt_by=[tie], hot_rows=hot_rows, sizes=sizes).filter(
-        (F.col("_pos") == low) | (F.col("_pos") == high))
-    lower, upper = F.min(value), F.max(value)
-    return near.groupBy(*keys).agg(
-        (lower + (upper - lower) * F.first(at - F.floor(at))).cast("double").alias(f"percentile_{n:g}"))
+    rows = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_w")))
+    sizes = cut_lineage(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("_w").alias("_all"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    at = (F.col("_all") - 1) * F.lit(n / 100.0)
+    wanted = cut_lineage(sizes.select(*keys, "_lo", "_hi", F.explode(F.array(
+        F.struct(F.lit("low").alias("_end"), (F.floor(at) + 1).alias("_rank")),
+        F.struct(F.lit("high").alias("_end"), (F.ceil(at) + 1).alias("_rank")))).alias("w")).select(*keys, "_lo", "_hi", "w.*"))
+    low, high, v = (F.col(c).cast("double") for c in ("_lo", "_hi", "_v"))
+    bin_ = F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1))
+    upto = W.partitionBy(*keys, "_end").orderBy("_bin").rowsBetween(W.unboundedPreceding, W.currentRow)
+    while True:
+        open_ = wanted.filter(F.col("_lo") < F.col("_hi"))
+        if open_.isEmpty():
+            break
+        inside = ordering.spread_join(rows, open_, keys, salt_by=["_v"], hot_rows=hot_rows, sizes=sizes.select(*keys, "n")).filter(
+            F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        counted = inside.withColumn("_bin", bin_).groupBy(*keys, "_end", "_rank", "_bin").agg(
+            F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_upto", F.sum("_n").over(upto))
+        holds = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+        found = counted.filter(holds).select(*keys, "_lo", "_hi", "_end", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"))
+        wanted = cut_lineage(wanted.filter(F.col("_lo") == F.col("_hi")).unionByName(found))
+    ends = wanted.groupBy(*keys).agg(F.max(F.when(F.col("_end") == "low", F.col("_lo"))).alias("_low"),
+                                     F.max(F.when(F.col("_end") == "high", F.col("_lo"))).alias("_high"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))
+    return ends.join(sizes.select(*keys, "_all"), keys).select(*keys, between.cast("double").alias(f"percentile_{n:g}"))

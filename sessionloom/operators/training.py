@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.constants import EVENT_TYPES, HOT_ROWS
 from sessionloom.functions import expressions as X
 from sessionloom.operators import ordering
+from sessionloom.sources.tables import cut_lineage
 
 
 def with_truth(candidates: DataFrame, labels: DataFrame, event: str) -> DataFrame:
@@ -41,6 +44,73 @@ def fold_deal(df: DataFrame, folds: int = 5, hot_rows: int = HOT_ROWS) -> DataFr
     return placed.select("session", F.pmod(F.col("_pos") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
+def shares_of(loads: Sequence[int], size: int, count: int) -> list[int]:
+    """How many of ``count`` equal things each bin gets if one after the other goes to the lightest (ties: the first).
+
+    A bin is filled at its load, load + size, load + 2 size, ...; the things go to the ``count`` smallest
+    of these levels, found by bisection, so that the work does not grow with ``count``.
+    """
+    def below(level: int) -> list[int]:
+        return [max(0, -(-(level - x) // size)) for x in loads]
+
+    low, high = min(loads), max(loads) + size * (count + 1)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= count else (low, mid)
+    out = below(low)
+    for k, x in enumerate(loads):
+        if sum(out) < count and x <= low and (low - x) % size == 0:
+            out[k] += 1
+    return out
+
+
+def _whole(a: Column, b: Column) -> Column:
+    """a / b rounded down, exact for whole numbers not below 0; 0 for b = 0."""
+    b = F.greatest(b, F.lit(1))
+    return F.round((a - a % b) / b).cast("long")
+
+
+def evenly(pos: Column, quotas: Sequence[Column], count: Column) -> Column:
+    """Bin of the place ``pos`` (from 0) among ``count``, so that each bin gets its quota and all stretches mix the bins alike.
+
+    A bin takes the places at which its share of the places left passes a whole number.
+    """
+    out, free = F.lit(len(quotas) - 1), F.lit(True)
+    left, pos = count.cast("long"), pos.cast("long")
+    choices = []
+    for k, quota in enumerate(quotas[:-1]):
+        before = _whole(pos * quota + left - 1, left)  # of this bin, before the place
+        until = _whole((pos + 1) * quota + left - 1, left)
+        choices.append((free & (until > before), k))
+        free = free & (until <= before)
+        pos, left = pos - before, left - quota
+    for hit, k in reversed(choices):
+        out = F.when(hit, k).otherwise(out)
+    return out.cast("int")
+
+
+def fold_by_size(df: DataFrame, folds: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(session, size, fold): the largest session goes to the lightest fold, and so on, as grouped folds are dealt.
+
+    Sessions of one size are interchangeable, so only the histogram of sizes is dealt out on the driver
+    (n rows have at most sqrt(2 n) different sizes); sessions are numbered among those of their
+    size, in the order of a hash.
+    """
+    sizes = cut_lineage(df.groupBy("session").agg(F.count("*").alias("size")))
+    classes = sizes.groupBy("size").agg(F.count("*").alias("n"))
+    loads, quotas = [0] * folds, []
+    for r in classes.orderBy(F.col("size").desc()).collect():
+        own = shares_of(loads, r["size"], r["n"])
+        loads = [x + c * r["size"] for x, c in zip(loads, own)]
+        quotas.append((r["size"], r["n"], own))
+    told = df.sparkSession.createDataFrame(quotas, "size long, n long, quotas array<long>")
+    hashed = sizes.withColumn("_h", X.spread(F.col("session")))
+    placed = ordering.positions(hashed, ["size"], ["_h", "session"], "_pos", hot_rows, classes)
+    met = ordering.spread_join(placed, told, ["size"], hot_rows=hot_rows, sizes=classes)
+    fold = evenly(F.col("_pos") - 1, [F.col("quotas")[k] for k in range(folds)], F.col("n"))
+    return met.select("session", "size", fold.alias("fold"))
+
+
 def split_fold(df: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows of one fold."""
     return df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -30,11 +31,42 @@ def present(spark: SparkSession, path: str) -> DataFrame | None:
     return None
 
 
+def input_stamp(*frames: DataFrame) -> str:
+    """What tables built from the frames depend on: names and sizes of their files, their rows, and a hash of those.
+
+    The hash is a sum over rows, so it does not matter how the rows lie in partitions.
+    """
+    parts = []
+    for df in frames:
+        spark = df.sparkSession
+        hashed = df.select(F.xxhash64(*[F.col(f"`{c}`").cast("string") if t.startswith("map") else F.col(f"`{c}`") for c, t in df.dtypes]).alias("h"))
+        rows, total = hashed.agg(F.count("*"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
+        files = []
+        for name in sorted(df.inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            files.append((name, path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()))
+        parts.append((df.schema.simpleString(), files, rows, str(total)))
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
 def reuse_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                   overwrite: bool = False) -> DataFrame:
-    """The table at ``path`` if it is there, else the built one after writing it."""
+                   overwrite: bool = False, stamp: str | None = None) -> DataFrame:
+    """The table at ``path`` if it is there, else the built one after writing it.
+
+    With a ``stamp`` (see input_stamp) the table is there only if it was built under the same one; the
+    stamp is written beside the table, after it.
+    """
     found = None if overwrite else present(spark, path)
-    return write_table(build(), path) if found is None else found
+    if found is not None and stamp is not None:
+        known = present(spark, f"{path}.stamp")
+        if known is None or known.first()["stamp"] != stamp:
+            found = None
+    if found is not None:
+        return found
+    table = write_table(build(), path)
+    if stamp is not None:
+        write_table(spark.createDataFrame([(stamp,)], "stamp string"), f"{path}.stamp")
+    return table
 
 
 def first_sessions(df: DataFrame, n: int = 20) -> DataFrame:

@@ -21,7 +21,7 @@ WHOLE = {
     "pair_gaps": lambda e, h: item_features.pair_gaps(e, "aid", True, hot_rows=h),
     "funnel": lambda e, h: session_features.session_funnel(e, "all", hot_rows=h),
     "clock": lambda e, h: session_features.session_clock(e, hot_rows=h),
-    "percentile": lambda e, h: session_features.percentile(e, ["session"], "ts", 40, "event_id", hot_rows=h),
+    "percentile": lambda e, h: session_features.percentile(e, ["session"], "ts", 40, hot_rows=h),
     "interaction_basic": lambda e, h: interaction_features.interaction_basic(e, hot_rows=h),
     "before": lambda e, h: interaction_features.events_before(e, 0, 1, strict=True, hot_rows=h),
     "fold_deal": lambda e, h: training.fold_deal(e, 3, hot_rows=h),
