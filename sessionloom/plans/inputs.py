@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +11,36 @@ from sessionloom.constants import EVENT_TYPES
 from sessionloom.operators import embeddings, metrics
 from sessionloom.sources import interactions
 
-# The event table covers 2024-01-01 to 2024-01-30 (UTC). Events before CUT are known, the
-# ones from CUT on are to be predicted; the test window is the known week before CUT.
-START = 1704067200
-TEST_FROM = 1705449600
-CUT = 1706054400
-END = 1706659200
+DAY, WEEK = 86400, 7 * 86400
+
+
+@dataclass(frozen=True)
+class Dates:
+    """Whole days (UTC) around a table's events: those before ``cut`` are known, the last week from ``cut`` on
+    is to be predicted, and the test window is the known week before it."""
+
+    start: int
+    end: int
+
+    @property
+    def cut(self) -> int:
+        return self.end - WEEK
+
+    @property
+    def test_from(self) -> int:
+        return self.cut - WEEK
+
+
+_DATES: dict[tuple[str, str], Dates] = {}
+
+
+def dates(spark: SparkSession, d: str) -> Dates:
+    """From the first and last event; looked up once per application and folder, so that filters on it reach the scan."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _DATES:
+        first, last = events(spark, d).agg(F.min("ts"), F.max("ts")).first()
+        _DATES[key] = Dates((first or 0) // DAY * DAY, ((last or 0) // DAY + 1) * DAY)
+    return _DATES[key]
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -22,15 +48,16 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).filter(F.col("ts") < CUT)
+    return events(spark, d).filter(F.col("ts") < dates(spark, d).cut)
 
 
 def test(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).filter(F.col("ts").between(TEST_FROM, CUT - 1))
+    at = dates(spark, d)
+    return events(spark, d).filter(F.col("ts").between(at.test_from, at.cut - 1))
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ground_truth(events(spark, d).filter(F.col("ts") >= CUT), EVENT_TYPES)
+    return metrics.ground_truth(events(spark, d).filter(F.col("ts") >= dates(spark, d).cut), EVENT_TYPES)
 
 
 def order_lines(spark: SparkSession, d: str) -> DataFrame:

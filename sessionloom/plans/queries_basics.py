@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sessionloom.constants import CLICK_ANCHORS, TYPE_WEIGHTS
 from sessionloom.operators import covisitation as cv
 from sessionloom.operators import sessions
 from sessionloom.plans import inputs, sql
@@ -11,7 +12,8 @@ from sessionloom.plans.registry import query
 from sessionloom.plans.sql import EV, KNOWN, OL, TEST, with_
 from sessionloom.sources import interactions, tables
 
-ANCHORS = (inputs.START, inputs.END)
+#: The times between which a click pair gains weight: a parameter of the rule.
+ANCHORS = (1704067200, 1706659200)
 WEIGHTS = {0: 1.0, 1: 5.0, 2: 2.0}
 
 
@@ -29,8 +31,8 @@ def io_load(spark, d):
 def io_segments(spark, d):
     """Written train and test parts, read back as one frame with the schema enforced."""
     ev, path = inputs.events(spark, d), scratch(spark, "segments")
-    tables.write_table(ev.filter(F.col("ts") < inputs.TEST_FROM), f"{path}/train")
-    tables.write_table(ev.filter(F.col("ts") >= inputs.TEST_FROM), f"{path}/test")
+    tables.write_table(ev.filter(F.col("ts") < inputs.dates(spark, d).test_from), f"{path}/train")
+    tables.write_table(ev.filter(F.col("ts") >= inputs.dates(spark, d).test_from), f"{path}/test")
     return interactions.read_interactions(spark, [f"{path}/train", f"{path}/test"])
 
 
@@ -78,6 +80,24 @@ def io_reuse(spark, d):
     return tables.reuse_or_build(spark, path, lambda: counts.filter("false"))
 
 
+@query("io_reuse_knows_its_input", with_(EV, body="""
+  SELECT 'first' AS build, aid, count(*) AS n FROM ev GROUP BY 2
+  UNION ALL SELECT 'same', aid, count(*) FROM ev GROUP BY 2
+  UNION ALL SELECT 'changed', aid, count(*) FROM ev WHERE type = 0 GROUP BY 2"""), longs="aid n", texts="build")
+def io_reuse_by_input(spark, d):
+    """The same input reuses the table, though its builder would give an empty one; another input builds anew."""
+    ev, path = inputs.events(spark, d), scratch(spark, "stamped")
+
+    def counts(events):
+        return events.groupBy("aid").agg(F.count("*").alias("n"))
+
+    some, stamp = ev.filter("type = 0"), tables.input_stamp(ev)
+    kept = [tables.cut_lineage(tables.reuse_or_build(spark, path, build, stamp=now)) for build, now in (
+        (lambda: counts(ev), stamp), (lambda: counts(ev).filter("false"), tables.input_stamp(ev.repartition(3))), (lambda: counts(some), tables.input_stamp(some)))]
+    named = [k.withColumn("build", F.lit(n)) for k, n in zip(kept, ("first", "same", "changed"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query("io_first_sessions", with_(EV, body="""
   SELECT * FROM ev WHERE session IN (SELECT DISTINCT session FROM ev ORDER BY session LIMIT 20)"""),
        longs="session aid ts type event_id")
@@ -236,15 +256,17 @@ def cv_weights(spark, d):
     return cv.pair_weights(cv.session_pairs(inputs.known(spark, d), rule), rule)
 
 
+RULES = ("clicks", "cart_orders", "buy_to_buy")
+
+
 @query("cv_rules_by_name",
-       with_(EV, KNOWN, *[c for r in ("cart_orders", "buy_to_buy") for c in
-                          sql.matrix(r, "known", r, 80, ANCHORS, WEIGHTS)], body="""
-  SELECT 'cart_orders' AS rule, aid_x, count(*) AS n, sum(wgt) AS total FROM cart_orders GROUP BY 2
-  UNION ALL SELECT 'buy_to_buy', aid_x, count(*), sum(wgt) FROM buy_to_buy GROUP BY 2"""),
+       with_(EV, KNOWN, *[c for r in RULES for c in sql.matrix(r, "known", r, 80, CLICK_ANCHORS, TYPE_WEIGHTS)],
+             body=" UNION ALL ".join(f"SELECT '{r}' AS rule, aid_x, count(*) AS n, sum(wgt) AS total FROM {r} GROUP BY 2" for r in RULES)),
        longs="aid_x n", doubles="total", texts="rule")
 def cv_by_name(spark, d):
+    """All rules by their names, with the published parameters."""
     parts = [
         cv.covisitation(inputs.known(spark, d), rule, 80).groupBy("aid_x").agg(
             F.lit(rule).alias("rule"), F.count("*").alias("n"), F.sum("wgt").alias("total"))
-        for rule in ("cart_orders", "buy_to_buy")]
-    return parts[0].unionByName(parts[1])
+        for rule in RULES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

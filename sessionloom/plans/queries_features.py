@@ -12,7 +12,7 @@ from sessionloom.plans import inputs, sql
 from sessionloom.plans.registry import query
 from sessionloom.plans.sql import EV, KNOWN, TEST, with_
 
-LW = f"lw AS (SELECT * FROM known WHERE ts >= {inputs.TEST_FROM})"
+LW = f"lw AS (SELECT * FROM known WHERE ts >= {sql.TEST_FROM})"
 DAYS = range(7)
 TYPES = EVENT_TYPES.items()
 
@@ -97,7 +97,7 @@ def share_intended(spark, d):
 @query("af_item_last_week", with_(EV, KNOWN, LW, *LW_CTES, body=f"SELECT aid, {_RENAMED} FROM recent"),
        longs="aid", doubles=" ".join(ITEM_LW))
 def item_last_week(spark, d):
-    return af.item_last_week(inputs.known(spark, d).filter(F.col("ts") >= inputs.TEST_FROM))
+    return af.item_last_week(inputs.known(spark, d).filter(F.col("ts") >= inputs.dates(spark, d).test_from))
 
 
 @query("af_last_week_times", with_(EV, KNOWN, LW, body="""
@@ -105,7 +105,7 @@ def item_last_week(spark, d):
          max(rel) AS aid_LW_ts_max FROM (SELECT aid, ts - (SELECT min(ts) FROM lw) AS rel FROM lw) GROUP BY 1"""),
        longs="aid aid_LW_ts_min aid_LW_ts_max", doubles="aid_LW_ts_mean aid_LW_ts_std")
 def last_week_times(spark, d):
-    return af.item_window_times(inputs.known(spark, d), inputs.TEST_FROM).na.fill(-1.0)
+    return af.item_window_times(inputs.known(spark, d), inputs.dates(spark, d).test_from).na.fill(-1.0)
 
 
 def _gaps_sql(src: str, prefix: str, with_std: bool) -> str:
@@ -128,7 +128,7 @@ def item_gaps(spark, d):
   FROM item i LEFT JOIN (SELECT aid AS lw_aid, {_RENAMED} FROM recent) r ON r.lw_aid = i.aid"""),
        longs="aid", doubles=" ".join(ITEM + ITEM_GAPS + ITEM_LW))
 def item_table(spark, d):
-    return af.item_table(inputs.known(spark, d), inputs.TEST_FROM)
+    return af.item_table(inputs.known(spark, d), inputs.dates(spark, d).test_from)
 
 
 # Sessions --------------------------------------------------------------------
@@ -219,7 +219,7 @@ _clock_query("sf_session_clock_absolute", True)
   SELECT session, quantile_cont(ts, 0.25) AS percentile_25 FROM ev GROUP BY 1"""),
        longs="session", doubles="percentile_25")
 def percentile(spark, d):
-    return sf.percentile(inputs.events(spark, d), ["session"], "ts", 25, "event_id")
+    return sf.percentile(inputs.events(spark, d), ["session"], "ts", 25)
 
 
 @query("sf_session_table", with_(EV, TEST, *SESSION_CTES, body=f"""

@@ -65,6 +65,23 @@ def folds_deal(spark, d):
     return tr.fold_deal(inputs.events(spark, d))
 
 
+LIGHTEST = "CASE " + " ".join(f"WHEN l{k} <= least({', '.join(f'l{j}' for j in range(k + 1, 5))}) THEN {k}" for k in range(4)) + " ELSE 4 END"
+
+
+@query("tr_group_folds_size", f"""
+  WITH RECURSIVE {EV},
+  sized AS (SELECT session, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, session) AS i FROM ev GROUP BY 1),
+  dealt AS (
+    SELECT CAST(0 AS BIGINT) AS i, -1 AS fold, CAST(0 AS BIGINT) AS size, {', '.join(f'CAST(0 AS BIGINT) AS l{k}' for k in range(5))}
+    UNION ALL
+    SELECT s.i, f AS fold, s.size, {', '.join(f'l{k} + CASE WHEN f = {k} THEN s.size ELSE 0 END' for k in range(5))}
+    FROM (SELECT i AS before, l0, l1, l2, l3, l4, {LIGHTEST} AS f FROM dealt) d JOIN sized s ON s.i = d.before + 1)
+  SELECT fold, size, count(*) AS sessions FROM dealt WHERE i > 0 GROUP BY 1, 2""", longs="fold size sessions")
+def folds_size(spark, d):
+    """Sessions with unequal numbers of events: the largest to the lightest fold; told by fold and size."""
+    return tr.fold_by_size(inputs.events(spark, d).select("session"), 5).groupBy("fold", "size").agg(F.count("*").alias("sessions"))
+
+
 FOLD = f"({spread('session')}) % 5"
 
 
@@ -128,7 +145,7 @@ MERGED = [
 
 def merged(spark, d, event: str = "carts"):
     rows = tables.cut_lineage(tr.with_rank_weight(labelled(spark, d, event), C))
-    return tr.merge_features(rows, af.item_table(inputs.known(spark, d), inputs.TEST_FROM),
+    return tr.merge_features(rows, af.item_table(inputs.known(spark, d), inputs.dates(spark, d).test_from),
                              sf.session_table(inputs.test(spark, d)), xf.interaction_table(inputs.test(spark, d)))
 
 
@@ -191,6 +208,49 @@ def split(spark, d):
     return st.stratified_split(inputs.scores(spark, d), "doc_id", PAIR, 0.1)
 
 
+#: Eight labels from the signs of vectors: rows with a large component have the label, so that most label vectors are unique.
+MARKS = [f"m{i}" for i in range(8)]
+MARKED = "marked AS (SELECT vec_id, " + ", ".join(f"CASE WHEN embedding[{i + 1}] > 0.1 THEN 1 ELSE 0 END AS m{i}" for i in range(8)) + " FROM embeddings)"
+IN_LONG = "long AS (" + " UNION ALL ".join(f"SELECT 'm{i}' AS label, m{i} AS has FROM marked" for i in range(8)) + " UNION ALL SELECT 'rows', 1 FROM marked)"
+LABEL_SHARES = "SELECT label, fold, sum(has) AS total, 1 AS within FROM long, (SELECT range AS fold FROM range({folds})) f GROUP BY 1, 2"
+
+
+def marked_vectors(spark, d):
+    v = inputs.vectors(spark, d)
+    return v.select("id", *[(F.get("vec", F.lit(i)) > F.lit(0.1)).cast("int").alias(f"m{i}") for i in range(8)])
+
+
+def label_shares(dealt, weights, keys=()):
+    """Per label (and the rows as such) and fold: the label's rows in all, and whether the fold has its (broken) share up to one row."""
+    whole = sum(weights)
+    counts = dealt.groupBy(*keys, "fold").agg(F.count("*").alias("rows"), *[F.sum(m).alias(m) for m in MARKS])
+    long = counts.unpivot([*keys, "fold"], ["rows", *MARKS], "label", "n")
+    totals = long.groupBy(*keys, "label").agg(F.sum("n").alias("total"))
+    share = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("fold").cast("int") + 1)
+    return long.join(totals, [*keys, "label"]).select(
+        *keys, "label", "fold", "total", (F.abs(F.col("n") * whole - F.col("total") * share) < 2 * whole).alias("within"))
+
+
+@query("st_label_folds", with_(MARKED, IN_LONG, body=LABEL_SHARES.format(folds=5)), longs="fold total within", texts="label")
+def label_folds(spark, d):
+    """Rows dealt label by label: each of eight labels is spread over five folds up to one row."""
+    return label_shares(st.label_folds(marked_vectors(spark, d), "id", MARKS, 5), [1] * 5)
+
+
+@query("st_repeated_label_folds", with_(MARKED, IN_LONG, body=f"""
+  SELECT r.range AS repeat, s.* FROM ({LABEL_SHARES.format(folds=5)}) s CROSS JOIN range(10) r"""),
+       longs="repeat fold total within", texts="label")
+def repeated_label_folds(spark, d):
+    return label_shares(st.repeated_label_folds(marked_vectors(spark, d), "id", MARKS, 5, 10), [1] * 5, ["repeat"])
+
+
+@query("st_label_split", with_(MARKED, IN_LONG, body=LABEL_SHARES.format(folds=2)), longs="fold total within", texts="label")
+def label_split(spark, d):
+    """A tenth of every label to the test part (fold 1), up to one row."""
+    dealt = st.label_split(marked_vectors(spark, d), "id", MARKS, 0.1)
+    return label_shares(dealt.withColumn("fold", F.col("is_test").cast("int")), [9, 1])
+
+
 @query("st_value_counts", """
   SELECT 'quality' AS grading_metric, quality AS score, count(*) AS count FROM labels GROUP BY 2
   UNION ALL SELECT 'toxic', toxic, count(*) FROM labels GROUP BY 2""", longs="score count", texts="grading_metric")
@@ -331,11 +391,19 @@ def similar_by_factors(spark, d):
     return em.nearest_items(inputs.vectors(spark, d), 30, "cosine")
 
 
+#: A forest that parts even the smallest given table: leaves of 51 to 101 vectors, in cells of 200 at most.
+FOREST = {"trees": 64, "leaf": 100, "cell_rows": 200}
+
+
 @query("em_similar_items_approximate", """
-  SELECT count(*) AS items, 1 AS in_order, 1 AS true_scores, 1 AS recalled FROM embeddings""", longs="items in_order true_scores recalled")
+  SELECT count(*) AS items, 1 AS in_order, 1 AS true_scores, 1 AS recalled, 1 AS parted, 1 AS whole FROM embeddings""",
+       longs="items in_order true_scores recalled parted whole")
 def similar_approximate(spark, d):
+    """All trees part the vectors into eight leaves or more, and their lists hold nine tenths of the exact ones."""
     v = inputs.vectors(spark, d)
-    return facts.neighbour_facts(em.similar_items(v, 50), v, 50, 0.9)
+    found = facts.neighbour_facts(em.similar_items(v, 50, **FOREST), v, 50, 0.9)
+    planted = tables.cut_lineage(facts.forest_facts(v, 50, **FOREST))
+    return found.select("*", planted.select("parted").scalar().alias("parted"), planted.select("whole").scalar().alias("whole"))
 
 
 @query("em_recommend_all_sessions", with_(VECTORS, body="""

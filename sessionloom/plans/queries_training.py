@@ -17,52 +17,97 @@ from sessionloom.plans.pipelines import SETUPS, Run, smaller
 from sessionloom.plans.queries_basics import ANCHORS, NEXT, scratch
 from sessionloom.plans.queries_models import FOLD, LABELLED, labelled, merged
 from sessionloom.plans.registry import query
-from sessionloom.plans.sql import EV, TEST, with_
+from sessionloom.plans.sql import EV, LABELS, TEST, spread, with_
 from sessionloom.sources.tables import cut_lineage
 
-SHORT = rk.RankerParams(rounds=4, max_depth=3, max_bins=32, early_stop=4)
+#: The published parameters, but for the rounds: a round is one job for each of six levels (see the README for its time).
+FIT = rk.RankerParams(rounds=12, early_stop=12)
+RULES = "cvm_weights"
 
 
 def _rows(spark, d):
     return cut_lineage(tr.fold_by_hash(tr.select_features(merged(spark, d))))
 
 
-PER_SESSION = "SELECT session, least(count(*), 20) AS entries, 1 AS in_order FROM cl {where} GROUP BY 1"
+def _precision(rows, score: str) -> float:
+    return rk.mean_average_precision(rows.select("session", "aid", "target", F.col(score).alias("score")))
 
 
-def _in_order(top):
-    return facts.lists_in_order(top.withColumn("rank", F.col("pos")).withColumn("score", -F.col("pos")), "session")
+def _learnt(rows, scored) -> float:
+    """By how much the mean average precision of the scores is above that of the rules' order."""
+    return _precision(scored.join(rows.select("session", "aid", "target"), ["session", "aid"]), "pred") - _precision(rows, RULES)
 
 
-@query("md_single_model_predictions", with_(*LABELLED, body=PER_SESSION.format(where=f"WHERE {FOLD} = 0")),
-       longs="session entries in_order")
-def single_model(spark, d):
-    """Train on four folds, rank the fifth: the top 20 of each of its sessions, told by size and order."""
-    _, scored = rk.train_fold(_rows(spark, d), 0, 0.10, tr.feature_names(), SHORT)
-    return _in_order(mt.top_predictions(scored))
+PER_SESSION = "SELECT session, least(count(*), 20) AS entries, 1 AS in_order, 1 AS learnt FROM cl {where} GROUP BY 1"
 
 
-@query("md_feature_importance", "SELECT 1 AS named, 1 AS falling, 1 AS whole", longs="named falling whole")
-def importance(spark, d):
-    """Gains of the columns that split: known names, ranks by falling gain, a sum of 1."""
-    fitted, _ = rk.train_fold(_rows(spark, d), 0, 0.10, tr.feature_names(), SHORT)
-    gains = rk.feature_importance(fitted).withColumnRenamed("gain", "score").withColumn("all", F.lit(0))
-    order = facts.lists_in_order(gains, "all")
-    total = gains.agg(F.bool_and(F.col("feature").isin(tr.feature_names())).alias("named"), (F.abs(F.sum("score") - 1) < 1e-9).alias("whole"))
-    return order.crossJoin(total).select("named", F.col("in_order").alias("falling"), "whole")
+def _told(scored, gain: float):
+    """Per session the entries of its answer, whether its scores fall from place to place, and whether the fit beats the rules."""
+    top = mt.top_predictions(scored, with_score=True).withColumnsRenamed({"pos": "rank", "pred": "score"})
+    return facts.lists_in_order(top, "session").withColumn("learnt", F.lit(gain > 0))
 
 
-@query("md_fold_ensemble_predictions", with_(*LABELLED, body=PER_SESSION.format(where="")), longs="session entries in_order")
+@query("md_single_model_predictions", with_(*LABELLED, body=PER_SESSION.format(where=f"WHERE {FOLD} = 0")),
+       longs="session entries in_order learnt")
+def single_model(spark, d):
+    """Train on four folds, rank the fifth. The rows it was trained on are ranked better than by the rules."""
+    rows = _rows(spark, d)
+    fitted, scored = rk.train_fold(rows, 0, 0.10, tr.feature_names(), FIT)
+    known = tr.split_fold(rows, 0)[0]
+    return _told(scored, _learnt(known, rk.score(fitted, known)))
+
+
+@query("md_evaluation_value", with_(*LABELLED, body=f"""
+  SELECT count(DISTINCT session) AS sessions, 1 AS rounds_told, 1 AS best_kept, 1 AS above_constant FROM cl
+  WHERE {FOLD} = 0 AND session IN (SELECT session FROM cl GROUP BY 1 HAVING max(target) = 1)"""),
+       longs="sessions rounds_told best_kept above_constant")
+def evaluation_value(spark, d):
+    """The value of every round is told, the ensemble ends at the best, and that is above what a constant score gets."""
+    rows = _rows(spark, d)
+    fitted, scored = rk.train_fold(rows, 0, 0.10, tr.feature_names(), FIT)
+    held = tr.split_fold(rows, 0)[1]
+    got = _precision(scored.join(held.select("session", "aid", "target"), ["session", "aid"]), "pred")
+    best = max(fitted.history)
+    return held.filter("target = 1").agg(F.count_distinct("session").alias("sessions")).select(
+        "sessions", F.lit(len(fitted.history) == FIT.rounds).alias("rounds_told"), F.lit(abs(got - best) < 1e-6).alias("best_kept"),
+        F.lit(best > _precision(held.withColumn("flat", F.lit(0.0)), "flat")).alias("above_constant"))
+
+
+@query("md_feature_importance", with_(*LABELLED, body="""
+  SELECT count(*) > 0 AS named, 1 AS falling, 1 AS from_trees, 1 AS needed FROM cl"""), longs="named falling from_trees needed")
+def importance(spark, d):
+    """Mean and summed gains of the columns that split: known names, falling, the sum that of all splits; and without
+    the first column the rows it was fitted on are ranked worse."""
+    columns, rows = tr.feature_names(), _rows(spark, d)
+    train = cut_lineage(tr.sample_negatives(tr.split_fold(rows, 0)[0], 0.10))
+    fitted = rk.train(train, None, columns, FIT)
+    gains = cut_lineage(rk.feature_importance(fitted))
+    order = facts.lists_in_order(gains.withColumn("score", F.col("gain")).withColumn("all", F.lit(0)), "all")
+    whole = sum(float(t.gain.sum()) for t in fitted.trees)
+    top = gains.orderBy(F.col("total_gain").desc(), "feature").first()["feature"]
+
+    def value(model):
+        return _precision(rk.score(model, train).join(train.select("session", "aid", "target"), ["session", "aid"]), "pred")
+
+    blind = rk.Ranker([rk.without(t, columns.index(top)) for t in fitted.trees], columns)
+    told = gains.agg(F.bool_and(F.col("feature").isin(columns)).alias("named"),
+                     (F.abs(F.sum("total_gain") - whole) < 1e-6 * (1 + whole)).alias("from_trees"))
+    return told.select("named", order.select("in_order").scalar().alias("falling"), "from_trees",
+                       F.lit(value(blind) < value(fitted)).alias("needed"))
+
+
+@query("md_fold_ensemble_predictions", with_(*LABELLED, body=PER_SESSION.format(where="")), longs="session entries in_order learnt")
 def fold_ensemble(spark, d):
-    """The mean of the fold models ranks all sessions in one pass; told by size and order.
+    """The mean of the fold models ranks all sessions in one pass, better than the rules do.
 
     A fold whose training part has no session with both classes, as in tiny tables, lends no model.
     """
     rows, columns = _rows(spark, d), tr.feature_names()
-    few = replace(SHORT, rounds=2, early_stop=2)
+    few = replace(FIT, rounds=4)
     parts = [tr.sample_negatives(tr.split_fold(rows, f)[0], 0.10) for f in range(5)]
     fitted = [rk.train(part, None, columns, few) for part in parts if rk.trainable(part)]
-    return _in_order(mt.top_predictions(rk.score_folds(fitted, rows)))
+    scored = cut_lineage(rk.score_folds(fitted, rows))
+    return _told(scored, _learnt(rows, scored))
 
 
 @query("md_mean_score", with_(*LABELLED, body="""
@@ -89,9 +134,9 @@ def rules_submission(spark, d):
     return run.rules_answer().select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
 
 
-TRIAL = smaller(
-    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, rounds=2, early_stop=2, max_depth=3,
-    word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
+#: The published setup, but for two folds of five and two rounds, and few dealings of the factor blocks.
+TRIAL = smaller(SETUPS["0val"], anchors=ANCHORS, folds=2, rounds=2, early_stop=2, leaf=64,
+                word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
 
 
 def trained_run(spark, d, folder: str) -> Run:
@@ -111,6 +156,18 @@ def trained_submission(spark, d):
     return run.answer(models).select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
 
 
+@query("md_validation_recall", with_(EV, TEST, LABELS, body=f"""
+  SELECT type, ({spread('session')}) % 2 AS fold, sum(least(len(ground_truth), 20)) AS truths, 1 AS some_hit, 1 AS quotient
+  FROM truth WHERE session IN (SELECT session FROM test) GROUP BY 1, 2"""), longs="fold truths some_hit quotient", texts="type")
+def validation_recall(spark, d):
+    """Recall of each fold's model on the sessions it was not trained on: all their labels are asked for, and some found."""
+    run = trained_run(spark, d, scratch(spark, "validated"))
+    recall, _ = run.validate(inputs.labels(spark, d))
+    hit = (F.col("hits") > 0) & (F.col("hits") <= F.col("truths"))
+    return recall.select("type", "fold", "truths", hit.alias("some_hit"),
+                         (F.abs(F.col("recall") - F.col("hits") / F.col("truths")) < 1e-9).alias("quotient"))
+
+
 # Factors -------------------------------------------------------------------------
 
 #: All epochs at full width; blocks are dealt anew every ten of them.
@@ -126,9 +183,9 @@ def word2vec(spark, d):
 
 @query("em_word2vec_neighbours", with_(EV, body=ONE_ROW), longs="items in_order true_scores recalled")
 def word2vec_neighbours(spark, d):
-    """Approximate neighbours of the fitted vectors, in order, with true scores, and most of the exact ones among them."""
+    """Approximate neighbours of the fitted vectors from leaves of 16 to 21 items, in order, with true scores, and most of the exact ones among them."""
     vectors = fa.word2vec(inputs.events(spark, d))
-    return facts.neighbour_facts(em.similar_items(vectors, 50), vectors, 50, 0.9)
+    return facts.neighbour_facts(em.similar_items(vectors, 10, leaf=16), vectors, 10, 0.9)
 
 
 @query("em_next_item_factors", with_(EV, NEXT.format(src="ev"), body=f"""
@@ -161,9 +218,15 @@ def next_item_accuracy(spark, d):
                          (accuracy(held.filter("not is_valid")) > 0.5).alias("learnt"))
 
 
-@query("em_bpr_item_vectors", with_(EV, body=ITEMS.format(width=fa.BPR.width + 1)), longs="aid width sound")
+@query("em_bpr_item_vectors", with_(EV, body=f"SELECT DISTINCT aid, {fa.BPR.width + 1} AS width, 1 AS sound, 1 AS learnt FROM ev"),
+       longs="aid width sound learnt")
 def bpr_items(spark, d):
-    return facts.sound_vectors(fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1])
+    """Sound vectors; and of the items that they put first for a session, more are among its own than of the most popular."""
+    counts = cut_lineage(sessions.item_counts(inputs.events(spark, d)))
+    users, items = fa.bpr(counts, BPR)
+    share = facts.own_share(em.recommend(users, items, 10), counts)
+    popular = facts.own_share(facts.popular_for_all(counts, 10), counts)
+    return facts.sound_vectors(items).withColumn("learnt", F.lit(share > popular))
 
 
 @query("em_bpr_session_recommendations", with_(EV, body="""
@@ -182,7 +245,7 @@ def bpr_recommendations(spark, d):
 @query("em_bpr_similar_items", with_(EV, body=ONE_ROW), longs="items in_order true_scores recalled")
 def bpr_similar(spark, d):
     vectors = fa.bpr(sessions.item_counts(inputs.events(spark, d)), BPR)[1]
-    return facts.neighbour_facts(em.nearest_items(vectors, 29, "cosine"), vectors, 29, 1.0)
+    return facts.neighbour_facts(em.similar_items(vectors, 29, leaf=32), vectors, 29, 0.9)
 
 
 @query("em_context_pairs", """

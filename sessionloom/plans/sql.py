@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sessionloom.plans.inputs import CUT, TEST_FROM
-
 DAY = 86400
+CUT = f"(SELECT (max(ts) // {DAY} + 1) * {DAY} - {7 * DAY} FROM ev)"
+TEST_FROM = f"(SELECT (max(ts) // {DAY} + 1) * {DAY} - {14 * DAY} FROM ev)"
 
 EV = """ev AS (
   SELECT user_id AS session, CAST(json_extract(props, '$.k') AS INTEGER) AS aid, epoch_us(ts) // 1000000 AS ts,
