@@ -35,7 +35,7 @@ END = b"\xff"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ENDS, b"abcdefghijklmnopqrstuvwxyz" + END * len(ENDS))
 
 #: Bytes of text counted at once, and counters per hash partition on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 COUNTERS = 1 << 18
 #: Capacity in units of (phrases seen) / threshold: errors stay below threshold / SLACK.
 SLACK = 4
