@@ -162,9 +162,8 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, places: DataFrame, thres
         F.count_distinct("key").alias("n_te"), F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= support)
     pairs = cut_lineage(pairs)
     entities = held.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    wanted = _small(cut_lineage(pairs.select("term").distinct()))
-    words = docs.select(F.explode(_terms(text_or_empty())).alias("term"))
-    terms = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted before they are joined: one row per term meets the pairs, however many documents hold it.
+    terms = docs.select(F.explode(_terms(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.agg(F.count("*").alias("n")).first()["n"]
     told = pairs.join(entities, "entity").join(terms, "term")
     content = F.log(F.lit(float(total)) / F.col("n_e"))
