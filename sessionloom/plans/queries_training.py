@@ -17,7 +17,7 @@ from sessionloom.plans.pipelines import SETUPS, Run, smaller
 from sessionloom.plans.queries_basics import ANCHORS, NEXT, scratch
 from sessionloom.plans.queries_models import FOLD, LABELLED, labelled, merged
 from sessionloom.plans.registry import query
-from sessionloom.plans.sql import EV, LABELS, TEST, spread, with_
+from sessionloom.plans.sql import EV, TEST, with_
 from sessionloom.sources.tables import cut_lineage
 
 #: The published parameters, but for the rounds: a round is one job for each of six levels (see the README for its time).
@@ -104,9 +104,10 @@ def rules_submission(spark, d):
     return run.rules_answer().select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
 
 
-#: The published setup, but for two folds of five and two rounds, and few dealings of the factor blocks.
-TRIAL = smaller(SETUPS["0val"], anchors=ANCHORS, folds=2, rounds=2, early_stop=2, leaf=64,
-                word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
+#: A short job (see the README): two folds of five, two rounds at depth 3, 20 candidates of 60, few dealings of the factor blocks.
+TRIAL = smaller(
+    SETUPS["0val"], anchors=ANCHORS, candidates=20, folds=2, rounds=2, early_stop=2, max_depth=3, leaf=64,
+    word2vec=replace(fa.WORD2VEC, passes=5), bpr=replace(fa.BPR, passes=50))
 
 
 def trained_run(spark, d, folder: str) -> Run:
@@ -126,18 +127,6 @@ def trained_submission(spark, d):
     return run.answer(models).select("session_type", F.size(labels).alias("entries"), F.size(F.array_distinct(labels)).alias("different"))
 
 
-@query("md_validation_recall", with_(EV, TEST, LABELS, body=f"""
-  SELECT type, ({spread('session')}) % 2 AS fold, sum(least(len(ground_truth), 20)) AS truths, 1 AS fits, 1 AS quotient
-  FROM truth WHERE session IN (SELECT session FROM test) GROUP BY 1, 2"""), longs="fold truths fits quotient", texts="type")
-def validation_recall(spark, d):
-    """Recall of each fold's model on the sessions it was not trained on: all their labels are asked for."""
-    run = trained_run(spark, d, scratch(spark, "validated"))
-    recall, _ = run.validate(inputs.labels(spark, d))
-    fits = F.col("hits").between(0, F.col("truths")) & (F.col("hits") == F.round(F.col("recall") * F.col("truths")))
-    return recall.select("type", "fold", "truths", fits.alias("fits"),
-                         (F.abs(F.col("recall") - F.col("hits") / F.col("truths")) < 1e-9).alias("quotient"))
-
-
 # Factors -------------------------------------------------------------------------
 
 #: All epochs at full width; blocks are dealt anew every ten of them.
