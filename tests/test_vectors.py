@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +267,53 @@ def test_word2vec_groups_items_met_together(spark):
     vectors = fa.word2vec(events, p=replace(fa.WORD2VEC, width=8, epochs=8, blocks=2))
     got = lists(em.nearest_items(vectors, 5, "cosine"))
     assert np.mean([(j >= 8) == (i >= 8) for i, near in got.items() for j in near]) > 0.9
+
+
+def _plain_ranking(every, past, n_left, a, b, p, moment):
+    """The ranking steps, pair by pair in batches, as they are meant."""
+    rng = np.random.default_rng((p.seed, *moment))
+    seen = set(zip(a.tolist(), b.tolist()))
+    steps = np.cumsum(np.bincount(b, minlength=len(every) - n_left) / len(b))
+    for _ in range(p.passes):
+        order = rng.permutation(len(a))
+        for s in range(0, len(order), p.batch):
+            some, grad = order[s:s + p.batch], {}
+            drawn = np.minimum(np.searchsorted(steps, rng.random(len(some)), side="right"), len(steps) - 1)
+            for i, o in zip(some, drawn):
+                if (a[i], o) in seen:
+                    continue
+                u, v, w = a[i], n_left + b[i], n_left + o
+                wrong = 1 / (1 + np.exp((every[u] * (every[v] - every[w])).sum()))
+                for row, g in ((u, -wrong * (every[v] - every[w])), (v, -wrong * every[u]), (w, wrong * every[u])):
+                    grad[row] = grad.get(row, 0) + g
+            for row, g in grad.items():
+                grad[row] = g + p.regularization * every[row]
+            for row, g in grad.items():
+                past[row] += g * g
+                every[row] -= p.learning_rate * g / np.sqrt(past[row] + 1e-8)
+                if row < n_left:
+                    every[row, -1] = 1.0
+    return every
+
+
+@pytest.mark.parametrize("sessions,items,share", [(40, 12, 0.4), (6, 50, 0.2), (3, 4, 1.0)])
+def test_ranking_steps_are_those_of_the_pairs(sessions, items, share):
+    rng = np.random.default_rng(sessions)
+    a, b = np.nonzero(rng.random((sessions, items)) < share)
+    every = ((rng.random((sessions + items, 7)) - 0.5) * 0.3).astype(np.float32)
+    every[:sessions, -1] = 1.0
+    vectors = pd.DataFrame({"side": [0] * sessions + [1] * items, "id": [*range(sessions), *range(items)], "block": 0,
+                            "vec": list(every), "acc": list(np.zeros_like(every))})
+    p = replace(fa.BPR, width=6, passes=3, batch=5)
+    got = fa._train_task(vectors, pd.DataFrame({"a": a, "b": b, "n": 1.0}), p, False, (1, 2))
+    want = _plain_ranking(every.astype(float), np.zeros(every.shape), sessions, a, b, p, (1, 2))
+    assert np.abs(np.stack(got["vec"]) - want).max() < 1e-3
+
+
+def test_a_ranking_batch_touches_its_own_rows_only():
+    """A session without pairs in a batch costs nothing and stays as it is, so batches cost the same in blocks of any size."""
+    every = np.full((5, 3), 0.5, np.float32)
+    vectors = pd.DataFrame({"side": [0, 0, 0, 1, 1], "id": [1, 2, 3, 1, 2], "block": 0, "vec": list(every), "acc": list(np.zeros((5, 3), np.float32))})
+    got = fa._train_task(vectors, pd.DataFrame({"a": [1, 2], "b": [1, 2], "n": 1.0}), replace(fa.BPR, width=2, passes=4), False, (0, 0))
+    assert np.stack(got["vec"])[2].tolist() == [0.5, 0.5, 0.5]
+    assert np.isfinite(np.stack(got["vec"])).all() and np.stack(got["vec"])[0, -1] == 1.0
