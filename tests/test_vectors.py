@@ -317,3 +317,13 @@ def test_a_ranking_batch_touches_its_own_rows_only():
     got = fa._train_task(vectors, pd.DataFrame({"a": [1, 2], "b": [1, 2], "n": 1.0}), replace(fa.BPR, width=2, passes=4), False, (0, 0))
     assert np.stack(got["vec"])[2].tolist() == [0.5, 0.5, 0.5]
     assert np.isfinite(np.stack(got["vec"])).all() and np.stack(got["vec"])[0, -1] == 1.0
+
+
+@pytest.mark.parametrize("metric,cost", [("euclidean", euclid), ("cosine", angle)])
+def test_only_wanted_items_get_lists(spark, points, metric, cost):
+    """Among them a copy of others, one repeated, and an id that no vector has."""
+    wanted = spark.createDataFrame([(3,), (25,), (25,), (59,), (700,)], "id long")
+    got = lists(em.nearest_items(frame(spark, points), 7, metric, block_rows=16, hot_rows=8, wanted=wanted))
+    want = brute(points, 7, cost)
+    assert got == {i: want[i] for i in (3, 25, 59)}
+    assert em.nearest_items(frame(spark, points), 7, metric, wanted=wanted.limit(0)).count() == 0
