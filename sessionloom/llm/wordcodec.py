@@ -15,6 +15,7 @@ from __future__ import annotations
 import gc
 import os
 import re
+from itertools import compress
 
 import numpy as np
 
@@ -101,14 +102,20 @@ class WordCodec:
             parts = [t.replace("\n", " ").split(" ") for t in texts]
         words = self.words
         words[""] = None if self.byte_level else b""  # an empty part: a run of spaces
-        found = [list(map(words.get, p)) for p in parts]
-        beyond = self._learn({w for p, v in zip(parts, found) for w, x in zip(p, v) if x is None and w not in words})
-        out, whole = [], []
-        for k, (p, v) in enumerate(zip(parts, found)):
+        skip = 4 * self.byte_level
+        out, unsure, whole, missing = [b""] * len(parts), [], [], set()
+        for k, p in enumerate(parts):
+            v = list(map(words.get, p))
+            try:  # joining is the quickest way to tell that all words are known
+                out[k] = b"".join(v)[skip:]
+            except TypeError:
+                unsure.append((k, v))
+                missing.update(compress(p, [x is None for x in v]))
+        beyond = self._learn(missing.difference(words))
+        for k, v in unsure:
             try:
-                out.append(b"".join([words[w] if x is None else x for w, x in zip(p, v)])[4 * self.byte_level:])
+                out[k] = b"".join([words[w] if x is None else x for w, x in zip(parts[k], v)])[skip:]
             except TypeError:
-                out.append(b"")
                 whole.append(k)
         for k, ids in zip(whole, self._ids([texts[k] for k in whole])):
             out[k] = ids

@@ -294,6 +294,18 @@ def test_token_files(spark, documents, odd_docs):
     assert tokenfiles.decode_range(row, 0, 3, 9).tolist() == whole[3:9].tolist()
 
 
+def test_known_words_are_joined_at_once():
+    """Texts of known words, of new ones and of none are told apart within a batch; words are looked up one by one only in texts with new ones."""
+    codec = WordCodec(BYTE_FILE, True)
+    codec.encode(["known words only", "more of them"])
+    learnt = []
+    learn = codec._learn
+    codec._learn = lambda missing: learnt.append(missing) or learn(missing)
+    texts = ["known of them", "of unseenword here", "", "two  spaces", "words\nonly known", "unseenword"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [codec.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(learnt) == 1 and {"unseenword", "here"} <= learnt[0] and "of" not in learnt[0]
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 5000):
