@@ -327,3 +327,22 @@ def test_only_wanted_items_get_lists(spark, points, metric, cost):
     want = brute(points, 7, cost)
     assert got == {i: want[i] for i in (3, 25, 59)}
     assert em.nearest_items(frame(spark, points), 7, metric, wanted=wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot"])
+def test_search_below_a_known_cost_measures_few(metric, monkeypatch):
+    """Queries with a kth cost, with none yet, and with more than k rows below it find what the whole search finds below it."""
+    rng = np.random.default_rng(8)
+    q, c = rng.normal(size=(30, 6)), rng.normal(size=(200, 6))
+    c[50:90] = c[50]
+    bar = (np.array([0, 1]), np.array([3, 50]))
+    whole = nb._nearest(np.arange(30), q, np.arange(200), c, 9, metric, bar)
+    most = whole.groupby("id")["cost"].nth(3).to_numpy().copy()
+    most[5], most[6], most[7] = np.inf, whole["cost"].max() + 1, whole["cost"].min() - 1
+    measured, costs = [], nb._costs
+    monkeypatch.setattr(nb, "_costs", lambda a, b, m: measured.append(len(a)) or costs(a, b, m))
+    some = nb._nearest(np.arange(30), q, np.arange(200), c, 9, metric, bar, most)
+    for x in (some, whole):
+        x.drop(x.index[x["cost"].to_numpy() > most[x["id"]]], inplace=True)
+    assert some.reset_index(drop=True).equals(whole.reset_index(drop=True))
+    assert sum(measured) < 30 * 9
