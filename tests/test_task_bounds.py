@@ -9,6 +9,7 @@ import pytest
 
 from sessionloom.operators import candidates as ca
 from sessionloom.operators import covisitation as cv
+from sessionloom.sources import interactions
 from tests.conftest import same
 
 
@@ -85,3 +86,14 @@ def test_votes_of_more_events_take_more_tasks(events, monkeypatch):
             cut = ca.suggest(events, tables, spec)
             assert -(-events.count() * marks // 1000) in partitions(cut, r"session#\d+L?, part#\d+")
             same(whole, cut)
+
+
+def test_join_of_more_order_lines_takes_more_tasks(spark, monkeypatch):
+    lines = spark.createDataFrame([(k // 3 if k % 7 else None, k, k % 3, k % 5, "NRA"[k % 3]) for k in range(60)],
+                                  "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_returnflag string")
+    orders = spark.sql("SELECT id AS o_orderkey, id % 4 AS o_custkey, timestamp_seconds(id * 90000) AS o_orderdate FROM range(18)")
+    whole = interactions.from_order_lines(lines, orders)
+    monkeypatch.setattr(interactions, "TASK_LINES", 8)
+    cut = interactions.from_order_lines(lines, orders)
+    assert partitions(cut, r"l_orderkey#\d+L?") == {8} and not partitions(whole, r"l_orderkey#\d+L?") & {8}
+    same(whole, cut)
