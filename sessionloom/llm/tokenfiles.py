@@ -26,6 +26,13 @@ SHARD = ("part int, shard int, base int, n_ids long, doc_ids binary, null_ids in
          "rules binary, expansion binary, sequence binary")
 
 
+_NO_PAIR = np.uint32(2**32 - 1)  # where a document ends; no pair of 16-bit symbols below the last
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+
+
 def repair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 5, least: int = 64,
            most_rules: int = 15_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, starts in it, rules, expansion lengths).
@@ -33,55 +40,79 @@ def repair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 5, leas
     Each round counts all pairs of neighbours inside documents and replaces, all at once, the
     pairs that occur ``least`` times or more, the most frequent first as far as ``most_rules``
     goes; of overlapping occurrences the leftmost counts. The work ends when no pair is frequent
-    or after ``rounds``, which also bounds how deep rules nest.
+    or after ``rounds``, which also bounds how deep rules nest. Symbols have 16 bits, so a pair is
+    one 32-bit number.
     """
-    seq = ids.astype(np.uint32)
+    seq = ids.astype(np.uint16)
     opens = np.zeros(len(seq) + 1, bool)  # where documents begin
     opens[starts] = True
-    rules = np.empty((0, 2), np.uint32)
+    rules = np.empty((0, 2), np.uint16)
     size = np.empty(0, np.int64)
     for k in range(rounds):
-        key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        key[opens[1:-1]] = np.uint64(2**64 - 1)
+        key = seq[:-1].astype(np.uint32)
+        key <<= 16
+        key |= seq[1:]
+        key[opens[1:-1]] = _NO_PAIR
         order = np.sort(key)
         edge = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1], [True]))) if len(order) else np.zeros(1, int)
         pairs, count = order[edge[:-1]], np.diff(edge)
-        good = (count >= least) & (pairs != np.uint64(2**64 - 1))
+        del order
+        good = (count >= least) & (pairs != _NO_PAIR)
         pairs, count = pairs[good], count[good]
         room = min(most_rules - len(rules), -(-most_rules // rounds))
         pairs = np.sort(pairs[np.argsort(-count, kind="stable")[:room]])
         if not len(pairs):
             break
-        slot = np.full(1 << 16, -1, np.int32)  # a pair's rule by a hash; of pairs in one slot the first stays
-        mixed = (pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
-        slot[mixed[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1]
-        rule = slot[(key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)]
-        hit = np.flatnonzero((rule >= 0) & (pairs[rule] == key))
-        run = np.flatnonzero(np.concatenate(([True], np.diff(hit) != 1)))
-        hit = hit[(np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0]
-        new, which = np.unique(rule[hit], return_inverse=True)  # only rules in use are kept
-        seq[hit] = base + len(rules) + which
+        # A pair's rule by a hash; of pairs in one slot the first stays. What an empty slot holds never comes to it.
+        slot, own = np.zeros(1 << 16, np.int32), np.full(1 << 16, _NO_PAIR)
+        own[_slot(_NO_PAIR[None])] = _NO_PAIR ^ np.uint32(1)
+        mixed = _slot(pairs)
+        slot[mixed[::-1]], own[mixed[::-1]] = np.arange(len(pairs), dtype=np.int32)[::-1], pairs[::-1]
+        mixed = _slot(key)
+        hit = np.flatnonzero(own[mixed] == key)
+        rule = slot[mixed[hit]]
+        del key, mixed
+        place = np.arange(len(hit), dtype=np.int32)
+        run = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(hit) != 1)), place, 0))
+        first = (place - run) % 2 == 0
+        hit, rule = hit[first], rule[first]
+        used = np.bincount(rule, minlength=len(pairs)) > 0  # only rules in use are kept
+        seq[hit] = (base + len(rules) - 1 + np.cumsum(used)).astype(np.uint16)[rule]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        left, right = (pairs[new] >> np.uint64(32)).astype(np.uint32), pairs[new].astype(np.uint32)
-        both = np.stack([left, right], axis=1)
+        left, right = (pairs[used] >> np.uint32(16)).astype(np.uint16), pairs[used].astype(np.uint16)
         part = [np.where(s >= base, size[np.maximum(s.astype(np.int64) - base, 0)] if len(size) else 1, 1) for s in (left, right)]
-        rules, size = np.concatenate([rules, both]), np.concatenate([size, part[0] + part[1]])
+        rules, size = np.concatenate([rules, np.stack([left, right], axis=1)]), np.concatenate([size, part[0] + part[1]])
         seq, opens = seq[keep], np.append(opens[:-1][keep], False)
     return seq, np.flatnonzero(opens[:-1]), rules, size
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The token ids that symbols stand for."""
-    seq = seq.astype(np.uint32)
-    while (deep := seq >= base).any():
+    ids, begin, size = _meanings(rules, base)
+    return _look_up(seq, ids, begin, size)[0]
+
+
+def _meanings(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token ids of every symbol one after another, where each symbol's begin, and their number."""
+    of, ids = np.arange(base + len(rules)), np.concatenate([np.arange(base), base + np.arange(len(rules))]).astype(np.uint32)
+    while (deep := ids >= base).any():
         place = np.cumsum(1 + deep) - 1 - deep
-        out = np.empty(len(seq) + int(deep.sum()), np.uint32)
-        out[place] = seq
-        pair = rules[seq[deep] - base]
-        out[place[deep]], out[place[deep] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+        longer, pair = np.empty(len(ids) + int(deep.sum()), np.uint32), rules[ids[deep] - base]
+        longer[place] = ids
+        longer[place[deep]], longer[place[deep] + 1] = pair[:, 0], pair[:, 1]
+        ids, of = longer, np.repeat(of, 1 + deep)
+    size = np.bincount(of, minlength=base + len(rules))
+    return ids, np.cumsum(size) - size, size
+
+
+def _look_up(seq: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a sequence of symbols, and where in them each symbol's begin, with their number at the end."""
+    long = size[seq]
+    starts = np.concatenate(([0], long.cumsum()))
+    at = np.repeat(begin[seq] - starts[:-1], long)
+    at += np.arange(len(at))
+    return ids[at], starts
 
 
 def decode_range(row, document: int, start: int, stop: int) -> np.ndarray:
@@ -156,12 +187,9 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
         for b in batches:
             for row in b.to_dict("records"):
                 rules, _, seq, at = _parts(row)
-                ids = expand(seq, rules, row["base"])
-                weight = np.ones(len(seq), np.int64)
-                deep = seq >= row["base"]
-                weight[deep] = np.frombuffer(row["expansion"], "<u4")[seq[deep].astype(np.int64) - row["base"]]
-                starts = np.concatenate(([0], weight.cumsum()))[at]
-                data = ids.astype("<u4").tobytes()
+                ids, ends = _look_up(seq, *_meanings(rules, row["base"]))
+                starts = ends[at]
+                data = ids.astype("<u4", copy=False).tobytes()
                 bounds = (starts * 4).tolist()
                 out = pd.DataFrame({
                     "doc_id": pd.array(np.frombuffer(row["doc_ids"], "<i8"), "Int64"), "part": row["part"], "shard": row["shard"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -306,6 +307,32 @@ def test_known_words_are_joined_at_once():
     assert len(learnt) == 1 and {"unseenword", "here"} <= learnt[0] and "of" not in learnt[0]
 
 
+def test_repair_and_expand_hold_little_beside_the_ids():
+    """Pairs of 16-bit symbols are sorted as 32-bit numbers and symbols looked up at once: some bytes an id each."""
+    n = 1_000_000
+    ids = np.minimum(np.random.default_rng(1).zipf(1.3, n), 50_000).astype(np.uint32)
+    starts = np.arange(0, n, 1000)
+    tracemalloc.start()
+    try:
+        seq, at, rules, size = tokenfiles.repair(ids, starts, 50_257)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 * n
+    assert len(seq) < 0.8 * n and np.array_equal(tokenfiles.expand(seq, rules, 50_257), ids)
+    symbols = np.arange(50_257, 50_257 + len(rules))
+    assert [len(tokenfiles.expand(symbols[k:k + 1], rules, 50_257)) for k in range(0, len(rules), 50)] == size[::50].tolist()
+
+
+def test_highest_symbol_twice_is_no_pair():
+    """The highest symbol twice would be the mark of a document's end: it is left as it is, and no pair crosses an end."""
+    ids, starts = np.array([1] * 41 + [65_534, 1] * 8, np.uint32), np.array([0, 3, 20, 41, 48])
+    seq, at, rules, size = tokenfiles.repair(ids, starts, 65_535, rounds=3, least=2, most_rules=1)
+    assert rules.tolist() == [[1, 1]] and (seq == 65_535).sum() == 19
+    for a, e, x, y in zip(at, [*at[1:], len(seq)], starts, [*starts[1:], len(ids)]):
+        assert tokenfiles.expand(seq[a:e], rules, 65_535).tolist() == ids[x:y].tolist()
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 50, 5000):
