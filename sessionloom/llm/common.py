@@ -6,6 +6,7 @@ import sys
 import types
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +43,12 @@ def per_worker(key: tuple, build: Callable[[], object]):
     if key not in kept:
         kept[key] = build()
     return kept[key]
+
+
+def look_up(seq: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a sequence of symbols, and where in them each symbol's begin, with their number at the end."""
+    long = size[seq]
+    starts = np.concatenate(([0], long.cumsum()))
+    at = np.repeat(begin[seq] - starts[:-1], long)
+    at += np.arange(len(at))
+    return ids[at], starts

@@ -23,7 +23,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096,
     A null text counts as empty, so every document has a piece. A document longer than
     ``width`` is cut every ``width`` ids. ``ids`` (little-endian uint32) only if asked for.
     Null document ids are kept, repeated rows give repeated pieces, other columns are ignored.
-    ``room`` bounds the words a worker remembers between its tasks; a million take some 240 MB.
+    ``room`` bounds the words a worker remembers between its tasks; a million take some 45 MB.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, width: int = 4096,
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for doc, ids in zip(b["doc_id"], codec.encode(b["text"].tolist())):
+            for doc, ids in zip(b["doc_id"], codec.each(b["text"].tolist())):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * width)):
                     part = ids[at:at + 4 * width]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import per_worker, text_or_empty
+from sessionloom.llm.common import look_up, per_worker, text_or_empty
 from sessionloom.llm.wordcodec import WordCodec
 
 SHARD = ("part int, shard int, base int, n_ids long, doc_ids binary, null_ids int, at binary, "
@@ -90,7 +90,7 @@ def repair(ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 5, leas
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     """The token ids that symbols stand for."""
     ids, begin, size = _meanings(rules, base)
-    return _look_up(seq, ids, begin, size)[0]
+    return look_up(seq, ids, begin, size)[0]
 
 
 def _meanings(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,15 +106,6 @@ def _meanings(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.
     return ids, np.cumsum(size) - size, size
 
 
-def _look_up(seq: np.ndarray, ids: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token ids of a sequence of symbols, and where in them each symbol's begin, with their number at the end."""
-    long = size[seq]
-    starts = np.concatenate(([0], long.cumsum()))
-    at = np.repeat(begin[seq] - starts[:-1], long)
-    at += np.arange(len(at))
-    return ids[at], starts
-
-
 def decode_range(row, document: int, start: int, stop: int) -> np.ndarray:
     """Token ids start..stop of a shard's document by its place, expanding only what is needed."""
     rules, size, seq, at = _parts(row)
@@ -165,13 +156,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
 
         for b in batches:
             texts, names = b["text"].tolist(), [None if pd.isna(d) else int(d) for d in b["doc_id"]]
-            for k in range(0, len(texts), 256):
-                for d, ids in zip(names[k:k + 256], codec.encode(texts[k:k + 256])):
-                    doc_ids.append(d)
-                    kept.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard_ids:
-                        yield shard()
+            for d, ids in zip(names, codec.each(texts)):
+                doc_ids.append(d)
+                kept.append(ids + end)
+                size += len(ids) // 4 + 1
+                if size >= shard_ids:
+                    yield shard()
         if kept:
             yield shard()
 
@@ -187,7 +177,7 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = False) ->
         for b in batches:
             for row in b.to_dict("records"):
                 rules, _, seq, at = _parts(row)
-                ids, ends = _look_up(seq, *_meanings(rules, row["base"]))
+                ids, ends = look_up(seq, *_meanings(rules, row["base"]))
                 starts = ends[at]
                 data = ids.astype("<u4", copy=False).tobytes()
                 bounds = (starts * 4).tolist()

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sessionloom.llm import licenses, mixing, packing, pii, queries, simhash, tokenfiles, toxicity
+from sessionloom.llm import licenses, mixing, packing, pii, queries, simhash, tokenfiles, toxicity, wordcodec
 from sessionloom.llm.common import shared_folder, table
 from sessionloom.llm.wordcodec import WordCodec
 from tests.compare import connect, difference
@@ -307,6 +307,31 @@ def test_known_words_are_joined_at_once():
     assert len(learnt) == 1 and {"unseenword", "here"} <= learnt[0] and "of" not in learnt[0]
 
 
+@pytest.mark.parametrize("byte_level", [True, False])
+def test_known_letters_with_new_marks_are_not_learnt_again(byte_level, monkeypatch):
+    """A word that is known needs no learning with other marks behind it; cutting texts into chunks changes nothing."""
+    codec = WordCodec(BYTE_FILE if byte_level else WORD_FILE, byte_level)
+    codec.encode(["some words known\nthat stay"])
+    learnt = set()
+    learn = codec._learn
+    codec._learn = lambda missing: learnt.update(missing) or learn(missing)
+    texts = ["some, words!! (known) known... words]%%%", "that? stay;\nthat, \nthat", "newword! newword"]
+    want = [codec.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+    assert learnt & {"words!!", "words", "known...", "stay;", "newword!"} == set() and "newword" in learnt
+    monkeypatch.setattr(wordcodec, "_CHUNK", 5)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.each(texts)] == want and codec.encode([]) == []
+
+
+@pytest.mark.parametrize("byte_level", [True, False])
+def test_every_plain_letter_is_encoded_as_the_library_does(byte_level):
+    """Also first and last in a word, after a line feed, with marks, and in copies beyond the room."""
+    codec = WordCodec(BYTE_FILE if byte_level else WORD_FILE, byte_level, room=100)
+    texts = [f"{c} a{c}\n{c}b, \n{c}.{c} x{c}{c}y;" for c in wordcodec._LETTERS] * 2
+    want = [np.array(e.ids, "<u4").tobytes() for e in codec.tok.encode_batch(texts, add_special_tokens=False)]
+    assert codec.encode(texts) == want and codec.encode(texts[:7]) == want[:7] and len(codec.known[0]) == 100
+
+
 def test_repair_and_expand_hold_little_beside_the_ids():
     """Pairs of 16-bit symbols are sorted as 32-bit numbers and symbols looked up at once: some bytes an id each."""
     n = 1_000_000
