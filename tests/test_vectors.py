@@ -346,3 +346,51 @@ def test_search_below_a_known_cost_measures_few(metric, monkeypatch):
         x.drop(x.index[x["cost"].to_numpy() > most[x["id"]]], inplace=True)
     assert some.reset_index(drop=True).equals(whole.reset_index(drop=True))
     assert sum(measured) < 30 * 9
+
+
+def hostile():
+    """Tight groups far from the origin, copies, zeros, and numbers that 32 bits do not tell apart or do not hold."""
+    rng = np.random.default_rng(21)
+    m = rng.normal(size=(260, 6))
+    m[:60] = 1000 + rng.normal(size=(60, 6)) * 1e-5
+    m[60:110] = -3e4 + rng.normal(size=(50, 6))
+    m[110] = 0
+    m[111:121] = m[130]
+    return m
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "dot"])
+@pytest.mark.parametrize("scale", [1.0, 1e18, 1e-22])
+def test_groups_of_queries_find_what_all_pairs_find(metric, scale):
+    """Block by block, with costs known from the first of them, barred pairs and a merge now and then."""
+    rng = np.random.default_rng(22)
+    m = hostile() * scale
+    who, bar = rng.integers(0, 260, 900), rng.integers(0, 260, 900)
+    who, bar = np.concatenate([who, np.arange(260)]), np.concatenate([bar, np.arange(260)])
+    ids, k = np.arange(260), 7
+    want = nb._nearest(ids, m, ids, m, k, metric, (who, bar))
+    told, parts = [], np.array_split(np.arange(260), 4)
+    for own in parts:
+        mine = np.isin(who, own)
+        first = nb._search((own, m[own], who[mine], bar[mine]), (parts[0], m[parts[0]]), k, metric)
+        told.append((own, m[own], who[mine], bar[mine], nb._places(own, first["id"]), first["neighbor"].to_numpy(), first["cost"].to_numpy(), [0]))
+    group = nb._Group(told, k, metric)
+    for name, own in enumerate(parts):
+        points = nb._unit(m[own]) if metric == "cosine" else m[own]
+        centre = points.mean(0)
+        group.meet(name, own, m[own], centre, float(np.sqrt(((points - centre) ** 2).sum(1)).max()) * (1 + 1e-9),
+                   float(np.sqrt((points * points).sum(1)).max()) * (1 + 1e-9))
+    got = pd.concat(group.result(), ignore_index=True)
+    assert got.equals(want.sort_values(["id", "cost", "neighbor"], ignore_index=True))
+
+
+def test_queries_are_moved_once_however_many_blocks_they_meet(spark, monkeypatch):
+    """Vectors without structure: what lies between first and later blocks grows with the vectors, not with pairs of blocks."""
+    m = np.random.default_rng(23).normal(size=(1200, 16))
+    monkeypatch.setattr(nb, "GROUP_BLOCKS", 3)
+    found, met = nb._neighbours(frame(spark, m), 5, "euclidean", 32)
+    blocks = met.select("q").distinct().count()
+    assert len(blocks_met(met)) > blocks * blocks / 2
+    assert met.selectExpr("sum(length(pack))").first()[0] < 1200 * (16 * 8 + 5 * 24 + 24) + blocks * 2000
+    got = lists(found.select("id", "neighbor", "rank"))
+    assert all(got[i] == x for i, x in brute(m[:], 5, euclid).items())
