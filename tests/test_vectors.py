@@ -394,3 +394,11 @@ def test_queries_are_moved_once_however_many_blocks_they_meet(spark, monkeypatch
     assert met.selectExpr("sum(length(pack))").first()[0] < 1200 * (16 * 8 + 5 * 24 + 24) + blocks * 2000
     got = lists(found.select("id", "neighbor", "rank"))
     assert all(got[i] == x for i, x in brute(m[:], 5, euclid).items())
+
+
+def test_mates_of_many_trees_are_told_apart_without_comparing_all(spark, monkeypatch):
+    """Repeats are left out of a sorted list, side by side; array_distinct compares pairs of numbers each with each."""
+    monkeypatch.delattr(nb.F, "array_distinct")
+    m = np.random.default_rng(31).normal(size=(300, 6))
+    found = em.similar_items(frame(spark, m), 10, trees=8, leaf=300)
+    assert lists(found) == brute(m, 10, angle)  # one leaf a tree: all mates come eight times
